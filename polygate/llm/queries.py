@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polygate.llm import pii, secret_scan, sharding, simhash, suffix_dedup
+from polygate.llm import bpe, decontam, pii, quality, secret_scan, sharding, simhash, suffix_dedup, token_files, topk
+
+
+def tokenizer() -> str:
+    """The tokenizer file that op2 and op4 are asked to use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +26,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(spark, _read(spark, sf_dir, "documents"), tokenizer())
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, _read(spark, sf_dir, "embeddings"), k=5, scale=256.0, every=50)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(spark, _read(spark, sf_dir, "documents"), tokenizer(), end_id=2)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark, _read(spark, sf_dir, "documents"), sharding.tree(40), sharding.tree(40, grown=1))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
 
@@ -40,6 +67,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op5_sharding, op8_pii, op9_secret_scan, op10_suffix_dedup)
+    f.__name__: f
+    for f in (op1_simhash, op2_bpe, op3_topk, op4_token_files, op5_sharding, op6_decontam, op7_quality, op8_pii, op9_secret_scan, op10_suffix_dedup)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
