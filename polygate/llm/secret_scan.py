@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,5 +133,17 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_batches(documents(docs), run, "doc_id long, text string, spans array<struct<start:int,kind:string,end:int>>, redacted string")
 
 
-def joined(found: list[tuple[int, str, int]]) -> Iterator[str]:
-    return (f"{k}:{a}:{b}" for a, k, b in found)
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with secrets in its text column replaced, and n_chars, if there is one, counted anew; other columns stay."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        clean = [redact(t, s) if t and (s := spans(t)) else t for t in texts]
+        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        cols["text"] = pa.array(clean, pa.string())
+        if "n_chars" in cols:
+            changed = [None if n is None else len(c) if c != t else n for n, c, t in zip(cols["n_chars"].to_pylist(), clean, texts, strict=True)]
+            cols["n_chars"] = pa.array(changed, pa.int64())
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return map_batches(docs, run, docs.schema)

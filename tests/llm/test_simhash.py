@@ -117,3 +117,56 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(50)] + [(7, 7), (3, 2)]
     got = {r.node: r.root for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{1000 + i: 1000 for i in range(50)}}
+
+
+def jaccard(a, b):
+    def sh(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    return len(sh(a) & sh(b)) / len(sh(a) | sh(b))
+
+
+def test_similarity_links_near_copies(spark):
+    rng = random.Random(5)
+    texts = []
+    for g in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 60, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.choice([1, 1, 2, 4, 9])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rows = [(i, t, None, "clash") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 5, 4, 0.8).collect()}
+    pairs = [(i, j, jaccard(texts[i], texts[j])) for i in range(len(texts)) for j in range(i)]
+    sure = [(i, j) for i, j, s in pairs if s >= 0.83]
+    assert len(sure) > 30 and sum(got[i] == got[j] for i, j in sure) >= 0.97 * len(sure)
+    groups = brute_groups(len(texts), [(i, j) for i, j, s in pairs if s >= 0.65])
+    assert all(groups[i] == groups[got[i]] for i in got)  # nothing is tied that isn't close
+
+
+def brute_groups(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_large_lists_are_dealt_again():
+    rng = np.random.default_rng(1)
+    base = rng.integers(1, 256, (3, 256), dtype=np.uint8)
+    x = np.repeat(base, 1500, axis=0)
+    flip = rng.random(x.shape) < 0.08
+    x = np.where(flip, rng.integers(1, 256, x.shape, dtype=np.uint8), x)
+    fp = np.arange(len(x))
+    links = [(a, b) for l, r in simhash._similar(fp, x, 0.775) for a, b in zip(l.tolist(), r.tolist())]
+    assert brute_groups(len(fp), links) == [i // 1500 * 1500 for i in range(len(fp))]
