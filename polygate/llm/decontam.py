@@ -36,44 +36,64 @@ _U = np.uint64
 _LITERAL, _NUMBER, _CAPITAL, _UNIT, _STOP = range(5)
 _MULT = _U(0x9E3779B97F4A7C15)
 _SLOT = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC909, 0], _U)
+_FILTER, _TEXTS = 20, 64
 _RUN_SCHEMA = "doc_id long, item_id long, kind string, n_words int, covered int, first_word int"
 
 
 class Words(dict):
-    """Numbers words; keeps their hashes and kinds in arrays.  Bounded: starts anew beyond ``most``."""
+    """Numbers words; their hashes and kinds are arrays by number."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+        self.new: list[tuple[int, int]] = []
+        self.hashes, self.kinds = np.empty(1 << 12, _U), np.empty(1 << 12, np.int8)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
         first = token[0]
         kind = _STOP if first in ".!?" else _NUMBER if first.isdigit() else _UNIT if low in UNITS else _CAPITAL if first.isupper() and token[1:] == low[1:] and len(token) > 1 else _LITERAL
-        n = self[token] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7))
-        self.kinds.append(kind)
+        n = self[token] = len(self)
+        self.new.append((xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7), kind))
         return n
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and kinds of all words so far."""
+        if self.new:
+            n = len(self)
+            while n > len(self.hashes):
+                self.hashes, self.kinds = (np.concatenate([x, np.empty_like(x)]) for x in (self.hashes, self.kinds))
+            at = n - len(self.new)
+            self.hashes[at:n] = np.fromiter((h for h, _ in self.new), _U, len(self.new))
+            self.kinds[at:n] = np.fromiter((k for _, k in self.new), np.int8, len(self.new))
+            self.new = []
+        return self.hashes, self.kinds
+
 
 class Canon:
-    """A text's plain word hashes, canonical hashes and which words are slots."""
-
-    def __init__(self, text: str | None, words: Words) -> None:
-        codes = np.fromiter(map(words.__getitem__, _TOKEN.findall(text or "")), np.int64)
-        if len(codes):
-            used, inverse = np.unique(codes, return_inverse=True)
-            plain = np.fromiter((words.hashes[c] for c in used), _U, len(used))[inverse]
-            kind = np.fromiter((words.kinds[c] for c in used), np.int64, len(used))[inverse]
-        else:
-            plain, kind = np.empty(0, _U), np.empty(0, np.int64)
-        starts = np.concatenate([[True], kind[:-1] == _STOP]) if len(kind) else np.empty(0, bool)
-        kind[(kind == _CAPITAL) & starts] = _LITERAL
+    """A text's plain word hashes, canonical hashes and which words are slots; texts that follow one another share arrays."""
+
+    def __init__(self, plain: np.ndarray, canon: np.ndarray, slot: np.ndarray, ends: np.ndarray) -> None:
+        self.plain, self.canon, self.slot, self.ends = plain, canon, slot, ends
+
+    @classmethod
+    def of(cls, texts: list[str | None], words: Words) -> Canon:
+        tokens = [_TOKEN.findall(t or "") for t in texts]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        codes = np.fromiter((words[t] for some in tokens for t in some), np.int64, int(sizes.sum()))
+        hashes, kinds = words.arrays()
+        kind = kinds[codes]
         real = kind != _STOP
-        self.plain, kind = plain[real], kind[real]
-        self.slot = kind != _LITERAL
-        self.canon = np.where(self.slot, _SLOT[kind], self.plain)
+        starts = np.concatenate([[True], ~real[:-1]]) if len(kind) else np.empty(0, bool)
+        ends = np.cumsum(sizes)
+        starts[(ends - sizes)[sizes > 0]] = True
+        kind[(kind == _CAPITAL) & starts] = _LITERAL
+        plain, kind = hashes[codes[real]], kind[real]
+        slot = kind != _LITERAL
+        return cls(plain, np.where(slot, _SLOT[kind], plain), slot, np.concatenate([[0], np.cumsum(real)])[ends])
+
+    def text(self, i: int) -> Canon:
+        a, b = (int(self.ends[i - 1]) if i else 0), int(self.ends[i])
+        return Canon(self.plain[a:b], self.canon[a:b], self.slot[a:b], np.array([b - a]))
 
 
 def window_hashes(x: np.ndarray, width: int) -> np.ndarray:
@@ -93,9 +113,10 @@ class Table:
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         words = Words()
         self.ids = [i for i, _ in items]
-        self.items = [Canon(t, words) for _, t in items]
+        self.items = [Canon.of([t], words) for _, t in items]
         self.widths = sorted({min(WINDOW, len(c.plain)) for c in self.items if len(c.plain) >= LEAST})
         self.keys: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.seen: dict[tuple[int, bool], np.ndarray] = {}  # by a hash's first bits: whether any window has them
         for w in self.widths:
             mine = [i for i, c in enumerate(self.items) if len(c.plain) >= LEAST and min(WINDOW, len(c.plain)) == w]
             for template in (False, True):
@@ -113,25 +134,37 @@ class Table:
                 h, item, at = (np.concatenate(x) for x in zip(*parts))
                 o = np.argsort(h, kind="stable")
                 self.keys[w, template] = h[o], item[o], at[o]
+                self.seen[w, template] = seen = np.zeros(1 << _FILTER, bool)
+                seen[h >> _U(64 - _FILTER)] = True
 
-    def hits(self, doc: Canon) -> Iterator[tuple[int, int, int, int, bool]]:
-        """(item, place in it, place in the document, width, whether by template) of each equal window."""
+    def hits(self, texts: Canon) -> Iterator[tuple[int, int, int, int, int, bool]]:
+        """(text, item, place in it, place in the text, width, whether by template) of each equal window."""
+        begins = np.concatenate([[0], texts.ends[:-1]])
         for (w, template), (h, item, at) in self.keys.items():
-            if not len(h):
+            if not len(h) or template and not texts.slot.any():
                 continue
-            mine = window_hashes(doc.canon if template else doc.plain, w)
-            lo = np.searchsorted(h, mine, "left")
-            for p in np.flatnonzero((lo < len(h)) & (h[np.minimum(lo, len(h) - 1)] == mine)):
-                q = lo[p]
+            mine = window_hashes(texts.canon if template else texts.plain, w)
+            maybe = np.flatnonzero(self.seen[w, template][mine >> _U(64 - _FILTER)])
+            lo = np.searchsorted(h, mine[maybe], "left")
+            same = np.flatnonzero((lo < len(h)) & (h[np.minimum(lo, len(h) - 1)] == mine[maybe]))
+            text = np.searchsorted(texts.ends, maybe[same], "right")
+            for p, q, i in zip(maybe[same], lo[same], text):
+                if p + w > texts.ends[i]:
+                    continue  # the window runs into the next text
                 while q < len(h) and h[q] == mine[p]:
-                    yield int(item[q]), int(at[q]), int(p), w, template
+                    yield int(i), int(item[q]), int(at[q]), int(p - begins[i]), w, template
                     q += 1
 
-    def judge(self, doc: Canon) -> list[tuple[int, str, int, int, int]]:
-        """(item_id, kind, words of the item, words covered, first word) of each item that the document holds."""
-        by: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
-        for item, at, p, w, template in self.hits(doc):
-            by[item, p - at].append((at, w, template))
+    def judge(self, texts: Canon) -> Iterator[tuple[int, list[tuple[int, str, int, int, int]]]]:
+        """(text, rows) of each text that holds an item; rows: item_id, kind, words of the item, words covered, first word."""
+        found: dict[int, dict[tuple[int, int], list[tuple[int, int, bool]]]] = defaultdict(lambda: defaultdict(list))
+        for i, item, at, p, w, template in self.hits(texts):
+            found[i][item, p - at].append((at, w, template))
+        for i in sorted(found):
+            if rows := self.judge_one(texts.text(i), found[i]):
+                yield i, rows
+
+    def judge_one(self, doc: Canon, by: dict[tuple[int, int], list[tuple[int, int, bool]]]) -> list[tuple[int, str, int, int, int]]:
         best: dict[int, tuple] = {}
         for (item, shift), found in by.items():
             c = self.items[item]
@@ -193,10 +226,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
             table, words = Table(sent.value), Words()
             for batch in batches:
                 found: list[tuple] = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                for part in (batch.slice(a, _TEXTS) for a in range(0, batch.num_rows, _TEXTS)):
                     if len(words) > 400_000:
                         words = Words()
-                    found += [(doc, *row) for row in table.judge(Canon(text.as_py(), words))]
+                    ids = part.column("doc_id").to_pylist()
+                    for i, rows_ in table.judge(Canon.of(part.column("text").to_pylist(), words)):
+                        found += [(ids[i], *row) for row in rows_]
                 if found:
                     types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
                     names = ["doc_id", "item_id", "kind", "n_words", "covered", "first_word"]

@@ -361,9 +361,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_
     roots = components(spark, stage.save(found, "link"))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = stage.save(named, "root")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # staged, so that both sides of the join are exchanged and a component that holds many fingerprints can be split
+    least = stage.save(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     ids = stage.save(named.join(least, "root").select("fp", "component_id"), "id")
-    stage.drop("class", "link", "root")
+    stage.drop("class", "link", "root", "least")
     return fps.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
