@@ -488,6 +488,8 @@ def _insert(c: Cursor) -> Insert:
                     break
         else:
             out.query = spaced(c.until("ON", "RETURNING") if not _joins(c) else _query_part(c))
+            if not out.query:
+                raise SqlSyntaxError(f"INSERT INTO {out.table} without rows")
     if c.accept("ON", "DUPLICATE", "KEY", "UPDATE"):
         out.conflict, out.updates = "update", _sets(c.until("RETURNING"))
     elif c.accept("ON", "CONFLICT"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import os
 import threading
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -96,12 +97,18 @@ class Session:
         self._overlay = _Overlay()
         self._savepoints: list[tuple[str, _Overlay]] = []
         self._views: dict[str, object] = {}
+        self._shared: list[str] = []
         self._lock = threading.RLock()
 
     # --- tables -----------------------------------------------------------------------------------------------------
 
     def register(self, name: str, df: DataFrame) -> None:
-        """Makes a DataFrame a read-only table."""
+        """Makes a DataFrame, of this or another session of the application, a read-only table."""
+        if df.sparkSession is not self.spark:
+            shared = f"polygate_{uuid.uuid4().hex}"
+            df.createOrReplaceGlobalTempView(shared)
+            self._shared.append(shared)
+            df = self.spark.table(f"{self.spark.conf.get('spark.sql.globalTempDatabase')}.{shared}")
         self.external[name.lower()] = df
         self._views.pop(name.lower(), None)
 
@@ -573,6 +580,8 @@ class Session:
         for n in list(self._views):
             self.spark.catalog.dropTempView(n)
         self._views.clear()
+        while self._shared:
+            self.spark.catalog.dropGlobalTempView(self._shared.pop())
         if self._own_store and self.store is not None:
             self.store.close()
 
