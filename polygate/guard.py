@@ -53,7 +53,7 @@ def _check(sig: list[Token]) -> None:
         after = sig[i + 2] if i + 2 < len(sig) else Token("op", ";")
         if t.kind in ("word", "ident") and t.value.upper() in _FORMATS and nxt.op(".") and after.kind == "ident":
             _refuse(f"{t.value}.`path`")
-        if t.is_("LOCATION") and first in ("CREATE", "ALTER"):
+        if t.is_("LOCATION") and nxt.kind == "str" and first in ("CREATE", "ALTER"):
             _refuse("LOCATION")
         if t.is_("DIRECTORY") and "OVERWRITE" in words:
             _refuse("INSERT OVERWRITE DIRECTORY")

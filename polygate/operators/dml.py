@@ -131,6 +131,30 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
+def inserted(table: Table, rows: DataFrame) -> DataFrame:
+    """(id, before, after) of new rows, for the change log."""
+    return rows.select(F.col(ROWID).alias("id"), _null().alias("before"), _json(table).alias("after"))
+
+
+def deleted(table: Table, rows: DataFrame) -> DataFrame:
+    """(id, before, after) of rows that go."""
+    return rows.select(F.col(ROWID).alias("id"), _json(table).alias("before"), _null().alias("after"))
+
+
+def reshaped(frame: DataFrame, old: Table, new: Table) -> DataFrame:
+    """The rows of ``old`` in the columns of ``new``: by name, by place where one was renamed, else the default."""
+    have = {c.name.lower(): c.name for c in old.columns}
+    out = [F.col(ROWID)]
+    for i, c in enumerate(new.columns):
+        if c.name.lower() in have:
+            out.append(F.col(quote(have[c.name.lower()])).alias(c.name))
+        elif len(old.columns) == len(new.columns):
+            out.append(F.col(quote(old.columns[i].name)).alias(c.name))
+        else:
+            out.append(F.expr(f"CAST({c.default or 'NULL'} AS {c.type})").alias(c.name))
+    return frame.select(*out)
+
+
 # --- insert ---------------------------------------------------------------------------------------------------------
 
 
@@ -234,13 +258,13 @@ def insert(ctx: Context, table: Table, ins: Insert) -> Outcome:
     segments = table.segments
     if gone is not None and not gone.isEmpty():
         if ctx.capture:
-            changes.append((DELETED, table.name, existing.join(gone, ROWID, "left_semi").select(F.col(ROWID).alias("id"), _json(table).alias("before"), _null().alias("after"))))
+            changes.append((DELETED, table.name, deleted(table, existing.join(gone, ROWID, "left_semi"))))
         segments = (ctx.store.write(existing.join(gone, ROWID, "left_anti").select(*cols), table.name),)
     segment = ctx.store.write(new.select(*cols), table.name)
     written = ctx.spark.read.schema(table.schema()).parquet(f"{ctx.store.root}/{segment}")
     r = new.agg(F.max(ROWID).alias("most"), F.max_by(ROWID, "__seq").alias("last")).first()
     if ctx.capture:
-        changes.append((INSERTED, table.name, written.select(F.col(ROWID).alias("id"), _null().alias("before"), _json(table).alias("after"))))
+        changes.append((INSERTED, table.name, inserted(table, written)))
     out = replace(table, segments=(*segments, segment), next_rowid=max(table.next_rowid, (r.most or 0) + 1))
     return Outcome(out, affected, r.last, changes, written)
 
@@ -305,7 +329,7 @@ def _upsert(ctx: Context, table: Table, ins: Insert, new: DataFrame, existing: D
         check_rows(ctx, table, fresh)
         path = ctx.store.write(frame.select(*cols).unionByName(fresh), table.name)
         if ctx.capture:
-            changes += [(UPDATED, table.name, delta), (INSERTED, table.name, fresh.select(F.col(ROWID).alias("id"), _null().alias("before"), _json(table).alias("after")))]
+            changes += [(UPDATED, table.name, delta), (INSERTED, table.name, inserted(table, fresh))]
         frame = ctx.spark.read.schema(table.schema()).parquet(f"{ctx.store.root}/{path}")
         touched = mine.select(F.coalesce("__met", ROWID).alias(ROWID), "__seq")
         seen = touched.agg(F.max_by(ROWID, "__seq")).first()[0]
@@ -383,7 +407,7 @@ def delete(ctx: Context, table: Table, d: Delete) -> Outcome:
     segments = () if d.where is None else (ctx.store.write(frame.join(ids, ROWID, "left_anti").select(*frame.columns), table.name),)
     out = replace(table, segments=segments)
     check_children(ctx, table, ctx.frame(out))
-    changes = [(DELETED, table.name, rows.select(F.col(ROWID).alias("id"), _json(table).alias("before"), _null().alias("after")))] if ctx.capture else []
+    changes = [(DELETED, table.name, deleted(table, rows))] if ctx.capture else []
     return Outcome(out, n, None, changes, rows)
 
 

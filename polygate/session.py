@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import threading
 import uuid
@@ -374,7 +375,7 @@ class Session:
                 seen.add(c.name.lower())
             t = Table(p.name, tuple(p.columns), p.sql, tuple(p.primary), tuple(tuple(u) for u in p.unique), tuple(p.checks), tuple(p.foreign), tuple(p.indexes))
             put[p.name.lower()] = t
-            self._ddl_change(t, p.sql)
+            self._ddl_change("create", t)
         elif isinstance(p, CreateView):
             if p.name.lower() in now:
                 if p.if_not_exists:
@@ -383,13 +384,17 @@ class Session:
             text = to_spark(p.query, self.dialect, self.options).text
             schema = self._spark_sql(text, args).schema
             cols = tuple(statements.Column(f.name, wire_class(f.dataType), f.dataType.simpleString()) for f in schema)
-            put[p.name.lower()] = Table(p.name, cols, f"CREATE VIEW {p.name} AS {text_of(p.query)}", view=text)
+            put[p.name.lower()] = t = Table(p.name, cols, f"CREATE VIEW {p.name} AS {text_of(p.query)}", view=text)
+            self._ddl_change("create", t)
         elif isinstance(p, Index):
             self._create_index(p)
         elif isinstance(p, Drop):
             self._drop(p, now)
         elif isinstance(p, Truncate):
-            put[p.name.lower()] = replace(self.table(p.name), segments=(), next_rowid=1)
+            t = self.table(p.name)
+            if self._manifest().capture and t.segments:
+                self._overlay.changes.append((dml.DELETED, t.name, dml.deleted(t, self._context(args).frame(t))))
+            put[p.name.lower()] = replace(t, segments=(), next_rowid=1)
         elif isinstance(p, Alter):
             self._alter(p)
 
@@ -401,7 +406,10 @@ class Session:
         t = Table(p.name, cols, p.sql)
         rows, n = dml.indexed(self._writable(), df, p.name)
         rows = rows.select((F.col("__idx") + 1).alias(dml.ROWID), *[F.col(quote(c.name)).cast(c.type) for c in cols])
-        self._overlay.tables[p.name.lower()] = replace(t, segments=(self.store.write(rows, p.name),), next_rowid=n + 1)
+        self._overlay.tables[p.name.lower()] = made = replace(t, segments=(self.store.write(rows, p.name),), next_rowid=n + 1)
+        self._ddl_change("create", t)
+        if self._manifest().capture:
+            self._overlay.changes.append((dml.INSERTED, t.name, dml.inserted(t, self._context(args).frame(made))))
 
     def _create_index(self, p: Index) -> None:
         t = self.table(p.table)
@@ -416,17 +424,19 @@ class Session:
         if p.unique:
             ctx = self._context({})
             dml.check_unique(ctx, t, ctx.frame(t), [tuple(p.columns)])
-        self._overlay.tables[p.table.lower()] = replace(t, indexes=(*t.indexes, p))
+        self._overlay.tables[p.table.lower()] = t = replace(t, indexes=(*t.indexes, p))
+        self._ddl_change("indexes", t)
 
     def _drop(self, p: Drop, now: dict[str, Table]) -> None:
         if p.what == "index":
             for n, t in now.items():
                 rest = tuple(i for i in t.indexes if i.name.lower() != p.name.lower())
                 if len(rest) < len(t.indexes):
-                    self._overlay.tables[n] = replace(t, indexes=rest)
+                    self._overlay.tables[n] = t = replace(t, indexes=rest)
+                    self._ddl_change("indexes", t)
                     return
         elif p.name.lower() in now:
-            self.table(p.name)
+            self._ddl_change("drop", self.table(p.name))
             self._overlay.tables[p.name.lower()] = None
             return
         if not p.if_exists:
@@ -440,14 +450,19 @@ class Session:
             self._create_index(p.index)
             return
         if p.action == "drop_index":
-            put[key] = replace(t, indexes=tuple(i for i in t.indexes if i.name.lower() != p.old.lower()))
+            put[key] = t = replace(t, indexes=tuple(i for i in t.indexes if i.name.lower() != p.old.lower()))
+            self._ddl_change("indexes", t)
             return
         if p.action == "rename_table":
             if p.new.lower() in self.tables():
                 raise EngineError(f"there is already another table or index with this name: {p.new}")
-            put[key], put[p.new.lower()] = None, replace(t, name=p.new)
+            new = replace(t, name=p.new)
+            put[key], put[p.new.lower()] = None, replace(new, sql=new.definition())
+            self._ddl_change("rename_table", put[p.new.lower()], t.name)
             return
         store, frame = self._writable(), self._context({}).frame(t)
+        if p.old and all(x.name.lower() != p.old.lower() for x in t.columns):
+            raise EngineError(f"no such column: {p.old}")
         if p.action == "add_column":
             c = p.column
             if any(x.name.lower() == c.name.lower() for x in t.columns):
@@ -455,26 +470,26 @@ class Session:
             if c.not_null and c.default is None:
                 raise EngineError("Cannot add a NOT NULL column with default value NULL")
             new = replace(t, columns=(*t.columns, c))
-            frame = frame.withColumn(c.name, F.expr(f"CAST({c.default or 'NULL'} AS {c.type})"))
         elif p.action == "drop_column":
             if len(t.columns) < 2 or any(p.old.lower() in map(str.lower, k) for k in t.keys):
                 raise EngineError(f"cannot drop column {p.old}")
             new = replace(t, columns=tuple(c for c in t.columns if c.name.lower() != p.old.lower()))
-            frame = frame.drop(p.old)
         else:
             turn = lambda names: tuple(p.new if n.lower() == p.old.lower() else n for n in names)
             new = replace(t, columns=tuple(replace(c, name=p.new) if c.name.lower() == p.old.lower() else c for c in t.columns), primary=turn(t.primary), unique=tuple(turn(u) for u in t.unique), indexes=tuple(replace(i, columns=list(turn(i.columns))) for i in t.indexes))
-            frame = frame.withColumnRenamed(p.old, p.new)
+        new = replace(new, sql=new.definition())
         if t.segments:
-            new = replace(new, segments=(store.write(frame, t.name),))
+            new = replace(new, segments=(store.write(dml.reshaped(frame, t, new), t.name),))
         put[key] = new
-        if p.action == "add_column":
-            self._ddl_change(new, new.sql)
+        self._ddl_change("reshape", new)
 
-    def _ddl_change(self, t: Table, sql: str) -> None:
-        """A schema row for the change log, so that replicas follow."""
+    def _ddl_change(self, action: str, t: Table, old: str | None = None) -> None:
+        """A schema row for the change log, so that replicas follow: the CREATE text, and the table's parts."""
         if self._manifest().capture:
-            self._overlay.changes.append((dml.INSERTED, "sqlite_schema", self.spark.createDataFrame([(0, None, sql)], "id long, before string, after string")))
+            kind = dml.DELETED if action == "drop" else dml.INSERTED if action == "create" else dml.UPDATED
+            parts = json.dumps({"action": action, "table": replace(t, segments=(), next_rowid=1).to_json()})
+            row = (0, old or t.name, None if action == "drop" else t.sql, parts)
+            self._overlay.changes.append((kind, "sqlite_schema", self.spark.createDataFrame([row], "id long, before string, after string, updates string")))
 
     def _log(self, manifest: Manifest, changes: list) -> int:
         from polygate.streaming.cdc import write_log

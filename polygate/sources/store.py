@@ -67,6 +67,21 @@ class Table:
         cols = [f"`{c.name}` {c.type}" for c in self.columns]
         return ", ".join([f"{ROWID} bigint", *cols] if rowid else cols)
 
+    def definition(self) -> str:
+        """CREATE text from the parts, for tables that were altered."""
+        parts = []
+        for c in self.columns:
+            words = [f'"{c.name}"', c.decl, "NOT NULL" if c.not_null else "", f"DEFAULT {c.default}" if c.default else ""]
+            parts.append(" ".join(w for w in words if w))
+        named = lambda names: ", ".join(f'"{n}"' for n in names)
+        parts += [f"PRIMARY KEY ({named(self.primary)})"] if self.primary else []
+        parts += [f"UNIQUE ({named(u)})" for u in self.unique]
+        parts += [f"CHECK ({c})" for c in self.checks]
+        for f in self.foreign:
+            parent = f' ({named(f.parent_columns)})' if f.parent_columns else ""
+            parts.append(f'FOREIGN KEY ({named(f.columns)}) REFERENCES "{f.parent}"{parent}')
+        return f'CREATE TABLE "{self.name}" ({", ".join(parts)})'
+
     def to_json(self) -> dict:
         return asdict(self)
 

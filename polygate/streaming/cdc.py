@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from polygate.dialect import quote
 from polygate.errors import EngineError, SqlSyntaxError, UnsupportedError
 from polygate.lexer import Dialect, lex, significant, split_statements
-from polygate.operators.dml import indexed
+from polygate.operators.dml import indexed, reshaped
 from polygate.plans import statements
 from polygate.sources.store import ROWID, Manifest, Store, Table
 
@@ -38,10 +38,11 @@ def write_log(spark: SparkSession, store: Store, manifest: Manifest, changes: li
     """Writes one transaction's changes and its COMMIT row; returns how many change ids it used."""
     base, out = manifest.next_change, None
     for kind, table, rows in changes:
-        numbered, n = indexed(store, rows.select("id", "before", "after"), table)
+        updates = F.col("updates") if "updates" in rows.columns else F.lit(None).cast("string").alias("updates")
+        numbered, n = indexed(store, rows.select("id", "before", "after", updates), table)
         part = numbered.select(
             (F.lit(base) + F.col("__idx")).alias("change_id"), F.lit(manifest.next_txn).cast("long").alias("change_txn_id"), F.lit(kind).alias("change_type"),
-            F.lit(table).alias("table_name"), F.col("id").cast("long").alias("id"), "before", "after", F.lit(None).cast("string").alias("updates"),
+            F.lit(table).alias("table_name"), F.col("id").cast("long").alias("id"), "before", "after", "updates",
         )
         base += n
         out = part if out is None else out.unionByName(part)
@@ -112,18 +113,31 @@ def classify_replayed_ddl(sql: str) -> str:
 
 
 def apply_batch(spark: SparkSession, replica: Store, batch: Batch) -> bool:
-    """Applies a transaction, its schema changes first, with its watermark, all or nothing; False if it was applied before.
+    """Applies a transaction with its watermark, all or nothing; False if it was applied before.
 
-    The last change of a row decides; inserts and updates replace the row of their id, deletes remove it.
+    Schema changes, which are few, part the transaction: rows before one are applied before it.
     """
     base = replica.manifest()
     if batch.commit_id <= base.watermark:
         return False
     written: dict[str, Table | None] = {}
     now = dict(base.tables)
-    for r in batch.changes.where(F.col("table_name") == SCHEMA_TABLE).orderBy("change_id").collect():  # one row for each DDL statement
-        _replay(r, now, written)
     data = batch.changes.where(F.col("table_name") != SCHEMA_TABLE)
+    at = 0
+    for r in batch.changes.where(F.col("table_name") == SCHEMA_TABLE).orderBy("change_id").collect():  # one row for each DDL statement
+        if at and r.change_id > at + 1:
+            _apply_rows(spark, replica, data.where(F.col("change_id").between(at + 1, r.change_id - 1)), now, written)
+        elif not at:
+            _apply_rows(spark, replica, data.where(F.col("change_id") < r.change_id), now, written)
+        _replay(spark, replica, r, now, written)
+        at = r.change_id
+    _apply_rows(spark, replica, data.where(F.col("change_id") > at), now, written)
+    replica.commit(base, written, watermark=batch.commit_id)
+    return True
+
+
+def _apply_rows(spark: SparkSession, replica: Store, data: DataFrame, now: dict[str, Table], written: dict[str, Table | None]) -> None:
+    """The last change of a row decides; inserts and updates replace the row of their id, deletes remove it."""
     last = data.withColumn("__r", F.row_number().over(Window.partitionBy("table_name", "id").orderBy(F.col("change_id").desc()))).where("__r = 1")
     for (name,) in data.select("table_name").distinct().collect():  # tables of one transaction
         table = now.get(name.lower())
@@ -140,22 +154,24 @@ def apply_batch(spark: SparkSession, replica: Store, batch: Batch) -> bool:
         new = kept.unionByName(put.select(*frame.columns))
         most = mine.agg(F.max("id")).first()[0] or 0
         now[name.lower()] = written[name.lower()] = replace(table, segments=(replica.write(new, table.name),), next_rowid=max(table.next_rowid, most + 1))
-    replica.commit(base, written, watermark=batch.commit_id)
-    return True
 
 
-def _replay(r, now: dict[str, Table], written: dict[str, Table | None]) -> None:
-    """One schema change: the text of a CREATE statement as it is after, or a name that goes."""
+def _replay(spark: SparkSession, replica: Store, r, now: dict[str, Table], written: dict[str, Table | None]) -> None:
+    """One schema change: the text of a CREATE statement as it is after, with the table's parts where they were logged."""
+    parts = json.loads(r.updates) if r.updates else {}
     if r.change_type == DELETE:
-        name = (json.loads(r.before)["name"] if r.before and r.before.startswith("{") else r.before or "").lower()
-        if now.pop(name, None) is not None:
-            written[name] = None
+        name = parts["table"]["name"] if parts else json.loads(r.before)["name"] if r.before and r.before.startswith("{") else r.before or ""
+        if now.pop(name.lower(), None) is not None:
+            written[name.lower()] = None
         return
     if r.after is None:
         return
     what = classify_replayed_ddl(r.after)
     if what == "TRIGGER":
         return
+    if parts:
+        _follow(spark, replica, parts["action"], Table.from_json(parts["table"]), r.before, now, written)
+        return
     p = statements.parse(split_statements(lex(r.after, Dialect.MYSQL if "`" in r.after else Dialect.SQLITE))[0], Dialect.SQLITE)
     if isinstance(p, statements.Index):
         t = now[p.table.lower()]
@@ -166,6 +182,26 @@ def _replay(r, now: dict[str, Table], written: dict[str, Table | None]) -> None:
         now[p.name.lower()] = written[p.name.lower()] = t
 
 
+def _follow(spark: SparkSession, replica: Store, action: str, new: Table, old: str | None, now: dict[str, Table], written: dict[str, Table | None]) -> None:
+    """A logged definition over the replica's own rows."""
+    name = new.name.lower()
+    have = now.get((old or name).lower())
+    if action == "create":
+        if name in now:
+            return
+    elif have is None:
+        raise EngineError(f"no such table: {old or name}")
+    elif action == "rename_table":
+        del now[old.lower()]
+        written[old.lower()] = None
+        new = replace(new, segments=have.segments, next_rowid=have.next_rowid)
+    elif action == "reshape" and have.segments:
+        new = replace(new, segments=(replica.write(reshaped(replica.read(spark, have), have, new), name),), next_rowid=have.next_rowid)
+    else:
+        new = replace(new, segments=have.segments, next_rowid=have.next_rowid)
+    now[name] = written[name] = new
+
+
 def replicate(spark: SparkSession, primary: Store, replica: Store) -> int:
     """Applies all transactions that the replica lacks; returns how many."""
     tailer, n = CdcTailer(spark, primary, read_watermark(replica)), 0
