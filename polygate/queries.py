@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from polygate import session_queries
 from polygate.lexer import Dialect
 from polygate.session import Session
 from polygate.sources.store import Store
@@ -18,8 +19,8 @@ from polygate.streaming import cdc, windows
 MY, PG, TS, LITE = Dialect.MYSQL, Dialect.POSTGRES, Dialect.TSQL, Dialect.SQLITE
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(session_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(session_queries.ORACLE_SQL)
 #: Tables of the test data that dialect queries may name.
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -89,6 +90,8 @@ _add("C8_anti_not_exists", MY, "SELECT c_custkey FROM customer WHERE NOT EXISTS
 _add("C8_anti_not_in", PG, "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 _add("C9_theta", TS, "SELECT a.s_suppkey AS a, b.r_regionkey AS b FROM supplier a JOIN region b ON a.s_nationkey < b.r_regionkey * 3")
 _add("C10_full_using_natural", PG, "SELECT COALESCE(c_custkey, -1) AS c, COALESCE(s_suppkey, -1) AS s FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey")
+_add("C10_natural", LITE, "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) AS x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) AS y")
+_add("C10_lateral", PG, "SELECT r_name, t.n FROM region, LATERAL (SELECT COUNT(*) AS n FROM nation WHERE n_regionkey = r_regionkey) AS t")
 _add("C10_using", PG, "SELECT k, n_name, x FROM (SELECT n_nationkey AS k, n_name FROM nation) AS t JOIN (SELECT c_nationkey AS k, COUNT(*) AS x FROM customer GROUP BY c_nationkey) AS u USING (k)")
 
 # --- D, E: aggregates and windows -----------------------------------------------------------------------------------
@@ -101,6 +104,7 @@ _add("D5_having_global", PG, "SELECT COUNT(*) AS n FROM orders HAVING COUNT(*) >
 _add("D6_distinct", MY, "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 _add("D7_derived_total", MY, "SELECT COUNT(*) AS total FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AS q")
 _add("D8_group_concat", MY, "SELECT n_regionkey, GROUP_CONCAT(n_name ORDER BY n_name SEPARATOR '|') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+_add("D9_bare_columns", MY, "SELECT n_regionkey, r_name, COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey", "SELECT n_regionkey, any_value(r_name) AS r_name, COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey")
 _add("D10_rollup", PG, "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 _add("E1_ranking", PG, "SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS rk FROM orders", "SELECT o_custkey, o_orderkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rn, CAST(RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) AS INTEGER) AS rk FROM orders")
 _add("E1_frames", MY, "SELECT o_custkey, o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, LAG(o_orderkey, 1, 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders")
@@ -124,7 +128,9 @@ _add("H4_isnull", TS, "SELECT c_custkey, ISNULL(o_orderkey, 0) AS k FROM custome
 _add("H7_session_functions", MY, "SELECT DATABASE() AS db, VERSION() AS v, USER() AS u, CONNECTION_ID() AS c", "SELECT 'main' AS db, '8.0.36-polygate' AS v, 'root@localhost' AS u, 0 AS c")
 _add("H14_date_parts", MY, "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, DAYOFMONTH(o_orderdate) AS dm FROM orders", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, day(o_orderdate) AS dm FROM orders")
 _add("H14_nested_in_join_and_order", MY, "SELECT YEAR(o_orderdate) AS y, COUNT(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND YEAR(l_shipdate) = YEAR(o_orderdate) GROUP BY YEAR(o_orderdate) ORDER BY YEAR(o_orderdate)")
+_add("H15_day_numbers", MY, "SELECT o_orderkey, DAYOFWEEK(o_orderdate) AS w, DAYOFYEAR(o_orderdate) AS y FROM orders", "SELECT o_orderkey, dayofweek(o_orderdate) + 1 AS w, dayofyear(o_orderdate) AS y FROM orders")
 _add("H16_coalesce", LITE, "SELECT c_custkey, COALESCE(NULL, c_mktsegment, 'x') AS s, IFNULL(NULL, 5) AS i FROM customer", "SELECT c_custkey, COALESCE(NULL, c_mktsegment, 'x') AS s, ifnull(NULL, 5) AS i FROM customer")
+_add("H18_regexp_function", LITE, "SELECT n_name, regexp('_1[0-4]$', n_name) AS hit FROM nation", "SELECT n_name, regexp_matches(n_name, '_1[0-4]$') AS hit FROM nation")
 _add("H20_strings_and_math", LITE, "SELECT p_partkey, UPPER(p_name) AS u, LENGTH(p_brand) AS l, ABS(-p_size) AS a, ROUND(p_retailprice, 1) AS r, SUBSTR(p_type, 1, 3) AS s, TRIM('  x ') AS t, REPLACE(p_brand, '#', '-') AS b FROM part", "SELECT p_partkey, UPPER(p_name) AS u, CAST(LENGTH(p_brand) AS INTEGER) AS l, ABS(-p_size) AS a, ROUND(p_retailprice, 1) AS r, SUBSTR(p_type, 1, 3) AS s, TRIM('  x ') AS t, REPLACE(p_brand, '#', '-') AS b FROM part")
 _add("H21_json", PG, "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 
