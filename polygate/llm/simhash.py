@@ -13,15 +13,16 @@ or, beyond 20,000, over the midpoints two bits away.  Nothing is capped.
 
 A few bits of one sum over all shingles tell only copies with few edits: at a Jaccard similarity of 0.8, 64-bit
 fingerprints differ in about 10 bits, where no byte is sure to be shared.  With ``similarity`` the operator therefore
-adds links from a fingerprint of 256 positional bytes, one for each class of shingles: the hash of the class's smallest
+also takes a fingerprint of 256 positional bytes, one for each class of shingles: the hash of the class's smallest
 shingle, which is the SimHash of that one.  Lists are keyed by six positions at once; within a list the tally of equal
-positional bytes estimates the Jaccard similarity (standard error 0.025 at 0.8), and pairs that reach it are linked.
+positional bytes estimates the Jaccard similarity (standard error 0.025 at 0.8).  Pairs three errors below it form loose
+groups, and within those the whole shingle sets are compared, so what is linked has the similarity exactly.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from polygate.llm.components import components
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _CHUNK, _SMALL, _LARGE = 1 << 16, 64, 20_000
+_GROUP = 500  # texts of a loose group that one task compares
 
 
 def _bit_counts(digests: list[bytes]) -> np.ndarray:
@@ -64,14 +66,19 @@ def _shingles(text: str | None, shingle: int) -> Iterator[list[bytes]]:
         yield [digest(buf[a:b], 42) for a, b in zip(starts[i : i + _CHUNK].tolist(), ends[i : i + _CHUNK].tolist())]
 
 
-def fingerprint(text: str | None, shingle: int = 4, sketch: Sketch | None = None) -> int:
-    """The SimHash of a text's word shingles, as an unsigned integer; 0 without words.  A sketch sees the shingles too."""
+def fingerprint(text: str | None, shingle: int = 4, also: Sketch | list[bytes] | None = None) -> int:
+    """The SimHash of a text's word shingles, as an unsigned integer; 0 without words.
+
+    ``also`` gets the digests of the shingles: a sketch, or a list that keeps them.
+    """
     total, n = np.zeros(64, np.int64), 0
     for digests in _shingles(text, shingle):
         total += _bit_counts(digests)
         n += len(digests)
-        if sketch is not None:
-            sketch.add(digests)
+        if isinstance(also, list):
+            also += digests
+        elif also is not None:
+            also.add(digests)
     if not n:
         return 0
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
@@ -114,8 +121,13 @@ class Sketch:
         return out.view(np.int64)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, at): ``at`` finds a text again, also where ids are null or repeat."""
+    return documents(docs).withColumn("at", F.xxhash64("doc_id", "text"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, sketches: bool = False) -> DataFrame:
-    """(doc_id, fp[, sketch, keys]) with fp the signed 64-bit view of the fingerprint; one row for each row of ``docs``."""
+    """(doc_id, fp[, at, sketch, keys]) with fp the signed 64-bit view of the fingerprint; one row for each row of ``docs``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = [batch.column("doc_id")]
@@ -123,10 +135,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, sketches: bool = False) -> D
         fps = np.fromiter((fingerprint(t.as_py(), shingle, k) for t, k in zip(batch.column("text"), made)), np.uint64, batch.num_rows)
         cols.append(pa.array(fps.view(np.int64)))
         if sketches:
-            cols += [pa.array([k.bytes().tobytes() for k in made], pa.binary()), pa.array([k.keys() for k in made], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "sketch", "keys"][: len(cols)])
+            cols += [batch.column("at"), pa.array([k.bytes().tobytes() for k in made], pa.binary()), pa.array([k.keys() for k in made], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "at", "sketch", "keys"][: len(cols)])
 
-    return map_batches(documents(docs), run, "doc_id long, fp long" + ", sketch binary, keys array<long>" * sketches)
+    return map_batches(_placed(docs) if sketches else documents(docs), run, "doc_id long, fp long" + ", at long, sketch binary, keys array<long>" * sketches)
 
 
 def _masks(minimum: int) -> list[int]:
@@ -254,19 +266,22 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     return map_arrow(posted, run, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """The columns of each run of rows with equal (band, key), from sorted batches; runs of one row are left out."""
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows with equal values of ``by``, from sorted batches; runs of one row are left out."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", *names)]
-        band, key = cols[:2]
-        begin = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (key[1:] != key[:-1])]))
-        ends = np.append(begin[1:], len(key))
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*by, *names)]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for key in cols[: len(by)]:
+            new[1:] |= key[1:] != key[:-1]
+        begin = np.flatnonzero(new)
+        ends = np.append(begin[1:], batch.num_rows)
         for a, b in zip(begin.tolist(), ends.tolist()):
             part = [c[a:b] for c in cols]
-            if held and (held[0][0][0] != part[0][0] or held[0][1][0] != part[1][0]):
+            if held and any(held[0][k][0] != part[k][0] for k in range(len(by))):
                 if sum(len(h[0]) for h in held) > 1:
                     yield [np.concatenate(x) for x in zip(*held)]
                 held = []
@@ -275,10 +290,30 @@ def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _similar(fp: np.ndarray, x: np.ndarray, least: float, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _forest(fp: np.ndarray, near: Callable[[int], np.ndarray], holds: Callable[[int, int], bool] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all pairs that hold; near(i) gives the earlier rows that row i may be tied to, best first.
+
+    Rows that are tied already aren't compared.
+    """
+    label, left, right = np.arange(len(fp)), [], []
+    for i in range(1, len(fp)):
+        some = near(i)
+        if holds is None and len(some):
+            some = some[np.sort(np.unique(label[some], return_index=True)[1])]
+        for j in some.tolist():
+            if label[j] != label[i] and (holds is None or holds(i, j)):
+                left.append(fp[j])
+                right.append(fp[i])
+                new, old = sorted((label[i], label[j]))
+                label[: i + 1][label[: i + 1] == old] = new
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _similar(fp: np.ndarray, x: np.ndarray, least: float, sets: list[np.ndarray] | None = None, similarity: float = 0.0, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that connect the fingerprints of one list whose positional bytes agree often enough.
 
-    A list of over 4096 is dealt again, by further positions; what still is large is compared in full.
+    With sets (hashes of all shingles, sorted) a pair must also have the similarity, exactly.  A list of over 4096 is
+    dealt again, by further positions; what still is large is compared in full.
     """
     if len(fp) > 4096 and depth < 2:
         for i in range(0, x.shape[1], 8):
@@ -288,37 +323,56 @@ def _similar(fp: np.ndarray, x: np.ndarray, least: float, depth: int = 0) -> Ite
             cuts = np.flatnonzero(np.diff(key[order])) + 1
             for part in np.split(order, cuts):
                 if 1 < len(part) < len(fp):
-                    yield from _similar(fp[part], x[part], least, depth + 1)
+                    yield from _similar(fp[part], x[part], least, None if sets is None else [sets[p] for p in part], similarity, depth + 1)
                 elif len(part) == len(fp):
-                    yield from _similar(fp, x, least, 2)
+                    yield from _similar(fp, x, least, sets, similarity, 2)
                     return
         return
-    label, left, right = np.arange(len(fp)), [], []
     some = x > 0
-    for i in range(1, len(fp)):
+
+    def near(i: int) -> np.ndarray:
         both = ((x[:i] == x[i]) & some[i]).sum(1)
-        union = (some[:i] | some[i]).sum(1)
-        near = np.flatnonzero(both >= least * union)
-        if len(near):
-            labels, at = np.unique(label[near], return_index=True)
-            left.append(fp[near[at]])
-            right.append(np.full(len(at), fp[i]))
-            label[i] = labels[0]
-            for y in labels[1:]:
-                label[:i][label[:i] == y] = labels[0]
-    if left:
-        yield np.concatenate(left), np.concatenate(right)
-
-
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links between fingerprints whose sketches estimate at least ``similarity``, less one standard error."""
-    least = similarity - (similarity * (1 - similarity) / Sketch.CLASSES) ** 0.5
+        close = np.flatnonzero(both >= least * (some[:i] | some[i]).sum(1))
+        return close[np.argsort(-both[close], kind="stable")]
+
+    yield _forest(fp, near, None if sets is None else lambda i, j: _jaccard(sets[i], sets[j]) >= similarity)
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted arrays without repeats."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _judged(lists: DataFrame, by: list[str], least: float, similarity: float) -> DataFrame:
+    """(a, b): links within each list of rows (``by``, fp, sketch[, set])."""
+    cols = [F.col(c) for c in by]
+    exact = "set" in lists.columns
+    names = ("fp", "sketch", "set")[: 2 + exact]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, by, names):
+            fp, sketch = group[len(by) : len(by) + 2]
+            x = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(fp), -1)
+            sets = [np.frombuffer(s, np.uint64) for s in group[-1]] if exact else None
+            for a, b in _similar(fp, x, least, sets, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = lists.select(*by, *names).repartition(*cols).sortWithinPartitions(*cols, "fp")
+    return map_arrow(rows, run, "a long, b long")
+
+
+def _posted(classes: DataFrame) -> DataFrame:
+    """(band, key, fp) of each list that has more than one fingerprint."""
     by = [F.col("band"), F.col("key")]
     posted = classes.select("fp", F.posexplode("keys").alias("band", "key")).repartition(*by).sortWithinPartitions(*by, "fp")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for group in _groups(batches, ("fp",)):
+        for group in _groups(batches, ["band", "key"], ("fp",)):
             held.append(group)
             size += len(group[0])
             if size > 50_000:
@@ -327,23 +381,51 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["band", "key", "fp"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, fp, sketch in _groups(batches, ("fp", "sketch")):
-            x = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(fp), -1)
-            for a, b in _similar(fp, x, least):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return map_arrow(posted, shared, "band int, key long, fp long")
+
+
+def _sets(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``members`` (fp, at, ...) with the sorted hashes of all shingles of a text that has the fingerprint."""
+    rows = _placed(docs).join(members.select("fp", "at"), "at").select("fp", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        fps, out = [], []
+        for fp, text in zip(batch.column("fp").to_pylist(), batch.column("text")):
+            seen: list[bytes] = []
+            if fingerprint(text.as_py(), shingle, seen) == fp % (1 << 64):
+                fps.append(fp)
+                out.append(np.unique(np.frombuffer(b"".join(seen), np.uint64)).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(out, pa.binary())], names=["fp", "set"])
 
-    kept = map_arrow(posted, shared, "band int, key long, fp long")
-    rows = kept.join(classes.select("fp", "sketch"), "fp").repartition(*by).sortWithinPartitions(*by, "fp")
-    return map_arrow(rows.select("band", "key", "fp", "sketch"), judge, "a long, b long")
+    found = map_batches(rows, run, "fp long, set binary").groupBy("fp").agg(F.first("set").alias("set"))  # rows may repeat
+    return members.drop("at").join(found, "fp")
+
+
+def similar_links(spark: SparkSession, docs: DataFrame, classes: DataFrame, close: DataFrame, shingle: int, similarity: float, stage: Staged) -> DataFrame:
+    """(a, b): links between fingerprints of texts whose shingles have the Jaccard similarity or more.
+
+    Sketches and ``close`` pick loose groups first: three standard errors below the similarity.  Within a group the
+    shingle sets decide.  A group of over ``_GROUP`` texts goes by its lists instead, so no task gets all of it.
+    """
+    least = similarity - 3 * (similarity * (1 - similarity) / Sketch.CLASSES) ** 0.5
+    posted = stage.save(_posted(classes), "posted")
+    lists = posted.join(classes.select("fp", "sketch"), "fp")
+    loose = stage.save(close.unionByName(_judged(lists, ["band", "key"], least, 0.0)), "loose")
+    groups = stage.save(components(spark, loose), "groups")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+    members = classes.join(groups, classes.fp == groups.node).join(sizes, "root").select("root", "n", "fp", "at", "sketch")
+    members = stage.save(_sets(stage.save(members, "members"), docs, shingle), "sets")
+    small = _judged(members.where(F.col("n") <= _GROUP), ["root"], least, similarity)
+    large = posted.join(members.where(F.col("n") > _GROUP).select("fp", "sketch", "set"), "fp")
+    return small.unionByName(_judged(large, ["band", "key"], least, similarity))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
 
-    Fingerprints that differ in at most ``max_bits`` bits are linked, with ``similarity`` also texts whose word
-    shingles have about that Jaccard similarity or more, over any number of steps; component_id is the smallest doc_id
-    reachable.  Null and wordless texts have fingerprint 0 and are linked like any other.  Rows that repeat a doc_id
+    Fingerprints that differ in at most ``max_bits`` bits are linked, over any number of steps; component_id is the
+    smallest doc_id reachable.  With ``similarity`` equal fingerprints are linked, and texts whose word shingles have
+    that Jaccard similarity or more; the bits then only propose pairs.  Null and wordless texts have fingerprint 0 and are linked like any other.  Rows that repeat a doc_id
     are each returned.  A null doc_id takes part; a component of null ids only has a null id.  An empty table gives an
     empty one.
     """
@@ -352,19 +434,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_
     if similarity is None:
         classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     else:
-        first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "sketch", "keys"))
-        classes = fps.groupBy("fp").agg(first.alias("s")).select("fp", F.col("s.doc_id").alias("first_id"), "s.sketch", "s.keys")
+        first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "at", "sketch", "keys"))
+        classes = fps.groupBy("fp").agg(first.alias("s")).select("fp", F.col("s.doc_id").alias("first_id"), "s.at", "s.sketch", "s.keys")
     classes = stage.save(classes, "class")
     found = links(classes.select("fp"), max_bits)
     if similarity is not None:
-        found = found.unionByName(similar_links(classes, similarity))
+        found = similar_links(spark, docs, classes, found, shingle, similarity, stage)
     roots = components(spark, stage.save(found, "link"))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = stage.save(named, "root")
     # staged, so that both sides of the join are exchanged and a component that holds many fingerprints can be split
     least = stage.save(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     ids = stage.save(named.join(least, "root").select("fp", "component_id"), "id")
-    stage.drop("class", "link", "root", "least")
+    stage.drop("class", "link", "root", "least", "posted", "loose", "groups", "members", "sets")
     return fps.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
