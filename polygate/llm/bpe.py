@@ -20,6 +20,7 @@ import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from polygate.llm.common import documents, map_arrow, map_batches
 LEXICON = 150_000
 _CACHE = 400_000  # words that a worker remembers
 _SLICE = 4 << 20  # characters encoded at a time
+_SHORT = 48  # bytes of a word that is merged beside others
+_NEVER = np.int32(2**31 - 1)
 
 
 @cache
@@ -67,10 +70,82 @@ class Vocabulary:
         self.inner = [self.ids.get(c, -1) for c in chars]
         self.last = [self.ids.get(c + self.end, -1) for c in chars]
         self.splitter = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._tables()
         full = Tokenizer.from_str(content)
         self.normalizer, self.pre = full.normalizer, full.pre_tokenizer
         self.unmapped = {c: b for b, c in enumerate(chars)}
 
+    def _tables(self) -> None:
+        """The merges as arrays, sorted by pair, for words merged side by side."""
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int32), np.array(self.last, np.int32)
+        pairs = np.array([a * len(self.tokens) + b for a, b in self.ranks], np.int64)
+        order = np.argsort(pairs)
+        self.pairs = pairs[order]
+        self.pair_ranks = np.array([r for r, _ in self.ranks.values()], np.int32)[order]
+        self.made = np.zeros(1 + max((r for r, _ in self.ranks.values()), default=0), np.int32)
+        for rank, new in self.ranks.values():
+            self.made[rank] = new
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, ``_NEVER`` for those without a merge."""
+        want = left.astype(np.int64) * len(self.tokens) + right
+        if not len(self.pairs):
+            return np.full(want.shape, _NEVER, np.int32)
+        at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == want, self.pair_ranks[at], _NEVER)
+
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """What :meth:`merge` gives for each word: lengths, and all ids in a row.
+
+        Words of a length stand in a matrix; a round merges the best pair of each row, so that all rows left are one
+        shorter and meet the words of that length.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # words, and a matrix of their ids
+        side_by_side = sizes <= _SHORT if min(self.inner_ids.min(), self.last_ids.min()) >= 0 else np.zeros(len(words), bool)
+        lengths = np.zeros(len(words), np.int64)
+        alone = {i: self.merge(words[i]) for i in np.flatnonzero(~side_by_side).tolist()}
+        lengths[list(alone)] = [len(x) for x in alone.values()]
+        who, ids, ranks = np.empty(0, np.int64), np.empty((0, _SHORT), np.int32), np.empty((0, _SHORT - 1), np.int32)
+        for k in range(_SHORT, 0, -1):
+            ids, ranks = ids.reshape(len(who), k), ranks.reshape(len(who), k - 1)
+            fresh = np.flatnonzero((sizes == k) & side_by_side)
+            if len(fresh):
+                raw = np.frombuffer(b"".join([words[i] for i in fresh.tolist()]), np.uint8).reshape(-1, k)
+                new = self.inner_ids[raw]
+                new[:, -1] = self.last_ids[raw[:, -1]]
+                who, ids = np.concatenate([who, fresh]), np.concatenate([ids, new])
+                ranks = np.concatenate([ranks, self._rank(new[:, :-1], new[:, 1:])])
+            if k == 1 or not len(who):
+                found.append((who, ids))
+                continue
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(who)), at]
+            go = best < _NEVER
+            found.append((who[~go], ids[~go]))
+            who, ids, ranks, at, best = who[go], ids[go], ranks[go], at[go], best[go]
+            row = np.arange(len(who))
+            ids[row, at] = self.made[best]
+            keep = np.ones(ids.shape, bool)
+            keep[row, at + 1] = False
+            ids = ids[keep].reshape(len(who), k - 1)
+            keep = np.ones(ranks.shape, bool)
+            keep[row, at] = False
+            ranks = ranks[keep].reshape(len(who), k - 2)
+            i = np.flatnonzero(at > 0)
+            ranks[i, at[i] - 1] = self._rank(ids[i, at[i] - 1], ids[i, at[i]])
+            i = np.flatnonzero(at < k - 2)
+            ranks[i, at[i]] = self._rank(ids[i, at[i]], ids[i, at[i] + 1])
+        for w, x in found:
+            lengths[w] = x.shape[1]
+        begin = np.cumsum(lengths) - lengths
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        for w, x in found:
+            flat[begin[w][:, None] + np.arange(x.shape[1])] = x
+        for w, x in alone.items():
+            flat[begin[w] : begin[w] + len(x)] = x
+        return lengths, flat
+
     def merge(self, word: bytes) -> list[int]:
         """Merges a word's bytes by rank, the leftmost of equals first."""
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]] if word else []
@@ -290,6 +365,19 @@ class Transducer:
 # --- a worker's encoder ---------------------------------------------------------------------------------------------
 
 
+class _Codes(dict):
+    """Numbers words in the order in which they are first looked up, and notes the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Encodes texts with a vocabulary and, if there is one, a lexicon; remembers a bounded number of words."""
 
@@ -298,35 +386,39 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = _Codes()
         self.flat, self.size = np.empty(1 << 16, np.uint32), 0
-        self.begin, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.begin, self.length, self.known = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
 
     def _learn(self, new: list[str]) -> None:
+        """The ids of new words: from the lexicon, else merged; of a special token its own id."""
+        special = {i: int(w[1:]) for i, w in enumerate(new) if w[0] == "\x00" and w[1:2].isdigit()}
         raw = [w.encode() for w in new]
-        ranks = self.lexicon.ranks(raw).tolist() if self.lexicon is not None else [-1] * len(raw)
-        merge = self.vocabulary.merge
-        ids = [merge(w) if r < 0 else self.lexicon.outputs(r) for w, r in zip(raw, ranks)]
-        self._add(new, ids)
-
-    def _add(self, keys: list, ids: list[list[int]]) -> None:
-        n0 = len(self.code)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        lengths, ranks = np.ones(len(new), np.int64), np.full(len(new), -1)
+        if self.lexicon is not None:
+            ranks = self.lexicon.ranks(raw)
+        ranks[list(special)] = -2
+        found = [(np.array(list(special), np.int64), np.array(list(special.values()), np.uint32))]
+        some = np.flatnonzero(ranks >= 0)
+        if len(some):
+            first, end = self.lexicon.starts[ranks[some]], self.lexicon.starts[ranks[some] + 1]
+            lengths[some] = end - first
+            found.append((some, self.lexicon.ids[_ranges(first, end - first)]))
+        some = np.flatnonzero(ranks == -1)
+        lengths[some], ids = self.vocabulary.merge_many([raw[i] for i in some.tolist()])
+        found.append((some, ids))
+        begin = self.size + np.cumsum(lengths) - lengths
         total = int(lengths.sum())
         while self.size + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
-        while n0 + len(ids) > len(self.begin):
+        while self.known + len(new) > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.empty(len(x), np.int64)]) for x in (self.begin, self.length))
-        self.flat[self.size : self.size + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.begin[n0 : n0 + len(ids)] = self.size + np.cumsum(lengths) - lengths
-        self.length[n0 : n0 + len(ids)] = lengths
+        for some, ids in found:
+            self.flat[_ranges(begin[some], lengths[some])] = ids
+        self.begin[self.known : self.known + len(new)] = begin
+        self.length[self.known : self.known + len(new)] = lengths
         self.size += total
-        self.code.update(zip(keys, range(n0, n0 + len(ids))))
-
-    def _gather(self, codes: np.ndarray) -> np.ndarray:
-        n = self.length[codes]
-        at = np.arange(int(n.sum())) + np.repeat(self.begin[codes] - (np.cumsum(n) - n), n)
-        return self.flat[at]
+        self.known += len(new)
 
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -349,16 +441,28 @@ class Encoder:
     def _encode(self, held: list[list[str]]) -> Iterator[np.ndarray]:
         if len(self.code) > _CACHE:
             self._reset()
-        new = {w for words in held for w in words if w not in self.code}
-        special = [w for w in new if len(w) > 1 and w[0] == "\x00" and w[1].isdigit()]
-        if special:
-            self._add(special, [[int(w[1:])] for w in special])
-            new.difference_update(special)
-        if new:
-            self._learn(list(new))
-        code = self.code
-        for words in held:
-            yield self._gather(np.fromiter(map(code.__getitem__, words), np.int64, len(words)))
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(held)), np.int64, int(sizes.sum()))
+        if self.code.new:
+            new, self.code.new = self.code.new, []
+            self._learn(new)
+        lengths = self.length[codes]
+        ids = self.flat[_ranges(self.begin[codes], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        for a, b in zip(ends, ends[1:]):
+            yield ids[a:b]
+
+
+def _ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indices first, first + 1, ... of each range, one range after the other."""
+    end = np.cumsum(length)
+    out = np.ones(int(end[-1]) if len(end) else 0, np.int64)
+    some = length > 0
+    first, length = first[some], length[some]
+    if len(first):
+        out[0] = first[0]
+        out[np.cumsum(length)[:-1]] = first[1:] - first[:-1] - length[:-1] + 1
+    return np.cumsum(out)
 
 
 _vocabularies: dict[int, Vocabulary] = {}
@@ -424,11 +528,18 @@ def compile_lexicon(spark: SparkSession, docs: DataFrame, content: str, most: in
     return os.path.basename(path)
 
 
+_encoders: dict[tuple[int, str | None], Encoder] = {}
+
+
 def encoder(content: str, lexicon: str | None) -> Encoder:
-    """For a worker: the vocabulary, and the lexicon that the driver sent."""
+    """For a worker: the vocabulary, and the lexicon that the driver sent.  The last one is kept for later tasks."""
     from pyspark import SparkFiles
 
-    return Encoder(vocabulary_of(content), Transducer.load(SparkFiles.get(lexicon)) if lexicon else None)
+    key = (hash(content), lexicon)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary_of(content), Transducer.load(SparkFiles.get(lexicon)) if lexicon else None)
+    return _encoders[key]
 
 
 def encode(spark: SparkSession, docs: DataFrame, path: str, lexicon_words: int = LEXICON) -> DataFrame:

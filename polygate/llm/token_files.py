@@ -12,6 +12,7 @@ A part is written under a name of its own attempt and then renamed, so a retried
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polygate.llm import bpe
-from polygate.llm.common import Staged, documents, map_arrow, scratch
+from polygate.llm.common import documents, map_arrow, scratch
 
-#: Bytes of ids that a part holds at most, about.
+#: Bytes of text that a part holds, about.
 PART_BYTES = 256 << 20
+_ROWS = 256
 _COPY = 4 << 20
 
 
@@ -34,54 +36,32 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def encode_flat(spark: SparkSession, docs: DataFrame, path: str, end_id: int | None, lexicon_words: int = 0) -> tuple[DataFrame, str]:
-    """(doc_id, ids, n) with ids in the smallest kind that fits the vocabulary, and that kind."""
-    with open(path, encoding="utf-8") as f:
-        content = f.read()
-    most = max(len(bpe.vocabulary_of(content).tokens) - 1, end_id or 0)
-    kind = "<u2" if most < 1 << 16 else "<u4"
-    lexicon = bpe.compile_lexicon(spark, docs, content, lexicon_words) if lexicon_words else None
-    sent = spark.sparkContext.broadcast(content)
+def _writer(folder: str, content, lexicon: str | None, kind: str, end_id: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encodes the rows of a partition, which are in order, and writes them as one part; returns its name and sizes."""
     tail = np.array([] if end_id is None else [end_id], kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(sent.value, lexicon)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = [np.concatenate([x.astype(kind), tail]) for x in enc.batch(batch.column("text").to_pylist())]
-                cols = [batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n"])
-
-    return map_arrow(documents(docs), run, "doc_id long, ids binary, n long"), kind
-
-
-def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Writes the rows of a partition, which are in order, as one part; returns its name and sizes."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        enc = bpe.encoder(content.value, lexicon)
         out, root = _open(folder)
         mine = uuid.uuid4().hex
         names = {e: (f"{root}/.{part:06d}-{mine}.{e}", f"{root}/{part:06d}.{e}") for e in ("ids", "off", "doc")}
         streams, at, n_docs, n_null = {}, 0, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if not streams:
-                streams = {e: out.open_output_stream(a, buffer_size=1 << 20) for e, (a, _) in names.items()}
-            n = batch.column("n").to_numpy().astype(np.uint64)
-            starts = np.uint64(at) + np.cumsum(n) - n
-            at += int(n.sum())
-            ids = batch.column("ids")
-            for i in range(batch.num_rows):
-                streams["ids"].write(ids[i].as_buffer())
-            streams["off"].write(starts.astype("<u8").tobytes())
-            n_null += batch.column("doc_id").null_count
-            streams["doc"].write(batch.column("doc_id").fill_null(0).to_numpy().astype("<i8").tobytes())
-            n_docs += batch.num_rows
+        for whole in batches:
+            for batch in (whole.slice(i, _ROWS) for i in range(0, whole.num_rows, _ROWS)):
+                if not streams:
+                    streams = {e: out.open_output_stream(a, buffer_size=1 << 20) for e, (a, _) in names.items()}
+                n = np.empty(batch.num_rows, np.uint64)
+                for i, ids in enumerate(enc.batch(batch.column("text").to_pylist())):
+                    streams["ids"].write(ids.astype(kind).tobytes() + tail.tobytes())
+                    n[i] = len(ids) + len(tail)
+                streams["off"].write((np.uint64(at) + np.cumsum(n) - n).astype("<u8").tobytes())
+                at += int(n.sum())
+                n_null += batch.column("doc_id").null_count
+                streams["doc"].write(batch.column("doc_id").fill_null(0).to_numpy().astype("<i8").tobytes())
+                n_docs += batch.num_rows
         if streams:
             streams["off"].write(np.array([at], "<u8").tobytes())
             for e, s in streams.items():
@@ -96,20 +76,24 @@ def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def write(spark: SparkSession, docs: DataFrame, path: str, folder: str, end_id: int | None = None, lexicon_words: int = 0) -> dict:
     """Encodes ``docs`` (doc_id, text) with the tokenizer file ``path`` and writes them in ascending doc_id order.
 
-    Null texts count as empty; null ids come first; rows that repeat an id are ordered by their ids' bytes.  Returns
-    the index.  The encoded rows are staged, so that the sampling of ranges doesn't encode twice.
+    Null texts count as empty; null ids come first; rows that repeat an id are ordered by their texts.  Returns the
+    index.  Texts, not ids, are dealt by ranges of doc_id, and the task that writes a part encodes it: each text is
+    moved once, and nothing is staged.
     """
-    stage = Staged(spark)
-    encoded, kind = encode_flat(spark, docs, path, end_id, lexicon_words)
-    encoded = stage.save(encoded, "encoded")
-    total = encoded.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * np.dtype(kind).itemsize // PART_BYTES))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
-    placed = encoded.repartitionByRange(parts, *order).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    with open(path, encoding="utf-8") as f:
+        content = f.read()
+    most = max(len(bpe.vocabulary_of(content).tokens) - 1, end_id or 0)
+    kind = "<u2" if most < 1 << 16 else "<u4"
+    lexicon = bpe.compile_lexicon(spark, docs, content, lexicon_words) if lexicon_words else None
+    sent = spark.sparkContext.broadcast(content)  # a tokenizer file: some megabytes
+    rows = documents(docs)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    first = F.col("doc_id").asc_nulls_first()
+    placed = rows.repartitionByRange(parts, first, F.xxhash64("text").asc()).sortWithinPartitions(first, F.xxhash64("text"), "text")
     out, root = _open(folder)
     out.create_dir(root)
-    written = map_arrow(placed, _writer(folder), "part long, n_docs long, n_null long, n_ids long").collect()  # a row for each part
-    stage.drop("encoded")
+    written = map_arrow(placed, _writer(folder, sent, lexicon, kind, end_id), "part long, n_docs long, n_null long, n_ids long").collect()  # a row for each part
     base, listed = 0, []
     for r in sorted(written):
         listed.append({"part": r.part, "n_docs": r.n_docs, "n_null": r.n_null, "n_ids": r.n_ids, "base": base})
@@ -127,13 +111,14 @@ class Part:
         self.fs, root = _open(folder)
         self.base, self.kind = f"{root}/{part:06d}", kind
         self.local = isinstance(self.fs, fs.LocalFileSystem)
+        self.maps: dict[str, np.ndarray] = {}
 
     def load(self, end: str, kind: str, start: int = 0, stop: int | None = None) -> np.ndarray:
         path, size = f"{self.base}.{end}", np.dtype(kind).itemsize
         if self.local:
-            import os
-
-            return np.memmap(path, kind, "r")[start:stop] if os.path.getsize(path) else np.empty(0, kind)
+            if end not in self.maps:
+                self.maps[end] = np.memmap(path, kind, "r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, kind)
+            return self.maps[end][start:stop]
         with self.fs.open_input_file(path) as f:
             stop = f.size() // size if stop is None else stop
             return np.frombuffer(f.read_at((stop - start) * size, start * size), kind)

@@ -46,6 +46,15 @@ def test_long_words_merge_alike(content):
     assert len(v.merge(b"ab" * 30_000)) > 1
 
 
+def test_words_merged_side_by_side(content):
+    v, rng = bpe.Vocabulary(content), random.Random(3)
+    words = ["".join(rng.choices("aeinrstñ'9", k=rng.randrange(1, 60))).encode() for _ in range(900)] + [b"", b"a", b"the", b"the"]
+    lengths, ids = v.merge_many(words)
+    ends = np.cumsum(lengths)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths)] == [v.merge(w) for w in words]
+    assert [x.tolist() for x in v.merge_many([])] == [[], []]
+
+
 def test_transducer_shares_suffixes_and_maps(tmp_path):
     rng = random.Random(2)
     stems = ["".join(rng.choices("abcdé", k=rng.randrange(1, 7))) for _ in range(300)]
