@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from polygate.dialect import Options
+from polygate.frontends.mysql import MySqlServer
+from polygate.frontends.postgres import PostgresServer
+from polygate.frontends.tds import TdsServer
+from polygate.frontends.wire import WireServer
 from polygate.guard import AuthRequest, ConnectionLimiter, WriteAdmission, authenticate, screened
 from polygate.lexer import Dialect
 from polygate.session import Session
@@ -15,15 +19,15 @@ from polygate.sources.store import Store
 
 
 class Gateway:
-    """``Gateway(spark).open(path).max_connections(50).hrana(port=8080).serve()``; sessions of any dialect by connect()."""
+    """``Gateway(spark).open(path).max_connections(50).mysql(port=3306).serve()``; sessions of any dialect by connect()."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.store = spark, None
         self.options, self.limiter, self.admission = Options(), ConnectionLimiter(0), None
         self._authenticator: Callable[[AuthRequest], Callable[[Dialect], Session] | None] | None = None
         self._screen, self._external = False, {}
-        self._listen: list[tuple[str, int]] = []
-        self.servers: list[HranaServer] = []
+        self._listen: list[tuple[str, str, int]] = []
+        self.servers: list[HranaServer | WireServer] = []
 
     def open(self, path: str, read_only: bool = False) -> Gateway:
         self.store = Store(self.spark, path, read_only)
@@ -58,10 +62,24 @@ class Gateway:
         self._screen = on
         return self
 
+    def mysql(self, host: str = "127.0.0.1", port: int = 0) -> Gateway:
+        self._listen.append(("mysql", host, port))
+        return self
+
+    def postgres(self, host: str = "127.0.0.1", port: int = 0) -> Gateway:
+        return self._open_to_all("postgres", host, port)
+
+    def tds(self, host: str = "127.0.0.1", port: int = 0) -> Gateway:
+        return self._open_to_all("tds", host, port)
+
     def hrana(self, host: str = "127.0.0.1", port: int = 0) -> Gateway:
+        return self._open_to_all("hrana", host, port)
+
+    def _open_to_all(self, kind: str, host: str, port: int) -> Gateway:
+        """Front ends without logins: they can't be offered beside an authenticator."""
         if self._authenticator is not None:
-            raise ValueError("the HTTP pipeline has no logins: it can't be offered with an authenticator")
-        self._listen.append((host, port))
+            raise ValueError(f"{kind} has no logins here: it can't be offered with an authenticator")
+        self._listen.append((kind, host, port))
         return self
 
     def session(self, dialect: Dialect) -> Session:
@@ -94,8 +112,17 @@ class Gateway:
 
     def serve(self) -> Gateway:
         """Starts the front ends; they run until :meth:`close`."""
-        for host, port in self._listen:
-            self.servers.append(HranaServer(lambda: self.session(Dialect.SQLITE), host, port, self.limiter).start())
+        for kind, host, port in self._listen:
+            if kind != "mysql" and self._authenticator is not None:
+                raise ValueError(f"{kind} has no logins here: it can't be offered with an authenticator")
+            if kind == "hrana":
+                server = HranaServer(lambda: self.session(Dialect.SQLITE), host, port, self.limiter)
+            elif kind == "mysql":
+                server = MySqlServer(self.connect, host, port)
+            else:
+                server = {"postgres": PostgresServer, "tds": TdsServer}[kind](lambda dialect, user: self.connect(dialect, AuthRequest(user)), host, port)
+            self.servers.append(server.start())
+        self._listen.clear()
         return self
 
     def close(self) -> None:

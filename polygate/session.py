@@ -7,7 +7,7 @@ import json
 import os
 import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -247,6 +247,12 @@ class Session:
 
     execute = query
 
+    def each(self, text: str, lowered: bool = True) -> Iterator[tuple[Translated, Result]]:
+        """Runs the statements of a text one after the other and gives each with its result."""
+        with self._lock:
+            for t in self._plans(text):
+                yield t, self._run(t, None, lowered)
+
     def _run(self, t: Translated, params: Sequence | None, lowered: bool) -> Result:
         if t.kind == "noop":
             return Result()
@@ -569,6 +575,22 @@ class Session:
         t = query if isinstance(query, Translated) else self._plans(query)[0]
         return self.schema_of(t).names
 
+    def shape_of(self, t: Translated) -> tuple[list[str], list[str]]:
+        """Names and wire classes of a statement's columns, without running it; none where it gives no rows."""
+        if t.kind == "found_rows":
+            return [t.text], ["INTEGER"]
+        if t.kind == "metadata":
+            schema = self._metadata(t.plan).schema
+        elif t.kind == "query":
+            schema = self.schema_of(t)
+        elif t.kind == "dml" and t.plan.returning is not None:
+            table = self.table(t.plan.table)
+            self.spark.createDataFrame([], table.schema(rowid=False)).createOrReplaceTempView("__returning")
+            schema = self._spark_sql(f"SELECT {to_spark(t.plan.returning, self.dialect, named=False).text} FROM __returning", {}).schema
+        else:
+            return [], []
+        return schema.names, [wire_class(f.dataType) for f in schema]
+
     def schema_of(self, t: Translated):
         self._refresh()
         self._information_schema(t.text)

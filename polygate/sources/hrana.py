@@ -119,7 +119,8 @@ class HranaServer:
                 pass
 
         self._http = ThreadingHTTPServer((host, port), Handler)
-        self.url = f"http://{host}:{self._http.server_address[1]}"
+        self.host, self.port = self._http.server_address[:2]
+        self.url = f"http://{self.host}:{self.port}"
         self._thread = threading.Thread(target=self._http.serve_forever, daemon=True)
 
     def start(self) -> HranaServer:
