@@ -14,6 +14,8 @@ from polygate.lexer import Dialect, Token, close_of, significant, split_commas,
 HINTS = {"SQL_CALC_FOUND_ROWS", "SQL_NO_CACHE", "SQL_CACHE", "SQL_SMALL_RESULT", "SQL_BIG_RESULT", "SQL_BUFFER_RESULT"}
 _CLAUSES = {"FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "UNION", "INTERSECT", "EXCEPT", "WINDOW", "OFFSET", "FETCH", "FOR", "INTO"}
 _UNUSED = "\x01"
+#: Names of the one schema there is.
+SCHEMAS = {"main", "dbo", "public"}
 
 
 @dataclass
@@ -221,7 +223,24 @@ class Rewriter:
     def structure(self, tokens: list[Token]) -> list[Token]:
         """Hints, ``TOP n`` and ``LIMIT a, b``, at this depth; inner parentheses follow when they are emitted."""
         out = self.hints(tokens) if self.dialect is Dialect.MYSQL else list(tokens)
-        out = self.each_depth(out)
+        return self.each_depth(self.unqualified(out))
+
+    def unqualified(self, tokens: list[Token]) -> list[Token]:
+        """Names without the one schema's name: after FROM and JOIN, and in front of a table's name and a column's."""
+        out: list[Token] = []
+        i = 0
+        while i < len(tokens):
+            t = tokens[i]
+            if t.kind in ("word", "ident") and t.value.lower() in SCHEMAS and not self.before(out, len(out)).op("."):
+                parts = tokens[i + 1 : i + 5]
+                names = [p.kind in ("word", "ident") for p in parts]
+                table = len(parts) > 1 and parts[0].op(".") and names[1]
+                column = table and len(parts) > 3 and parts[2].op(".") and (names[3] or parts[3].op("*"))
+                if column or table and self.before(out, len(out)).is_("FROM", "JOIN"):
+                    i += 2
+                    continue
+            out.append(t)
+            i += 1
         return out
 
     def each_depth(self, tokens: list[Token]) -> list[Token]:
@@ -239,7 +258,31 @@ class Rewriter:
             out = self.limit(out)
         if self.dialect is Dialect.TSQL:
             out = self.top(out)
-        return out
+        return self.fetch(out)
+
+    def fetch(self, tokens: list[Token]) -> list[Token]:
+        """``OFFSET a ROWS FETCH NEXT b ROWS ONLY`` is ``LIMIT b OFFSET a``; either part may stand alone."""
+        i = next((i for i, t in enumerate(tokens) if t.is_("OFFSET", "FETCH") and self.depth(tokens, i) == 0), None)
+        if i is None:
+            return tokens
+        sig = [t for t in tokens[i:] if t.kind != "space"]
+        offset, at = None, 0
+        if sig[0].is_("OFFSET"):
+            end = next((k for k, t in enumerate(sig) if t.is_("ROW", "ROWS")), None)
+            if end is None:
+                return tokens
+            offset, at = sig[1:end], end + 1
+        rest: list[Token] = []
+        blank = Token("space", " ")
+        if at < len(sig) and sig[at].is_("FETCH"):
+            end = next((k for k in range(at, len(sig)) if sig[k].is_("ROW", "ROWS")), None)
+            if end is None or end + 1 >= len(sig) or not sig[end + 1].is_("ONLY"):
+                raise UnsupportedError("FETCH ... WITH TIES is not supported")
+            most = sig[at + 2 : end] or [Token("num", "1")]
+            rest, at = [Token("word", "LIMIT"), blank, *most, blank], end + 2
+        if offset is not None:
+            rest += [Token("word", "OFFSET"), blank, *offset, blank]
+        return [*tokens[:i], *rest, *(x for t in sig[at:] for x in (t, blank))]
 
     @staticmethod
     def hints(tokens: list[Token]) -> list[Token]:

@@ -37,7 +37,12 @@ class Translated:
         return max(self.params, default=0)
 
 
-_IGNORED_SET = ("NAMES", "CHARACTER", "TIME_ZONE", "SQL_MODE", "NOCOUNT", "ANSI_NULLS", "QUOTED_IDENTIFIER", "XACT_ABORT", "TRANSACTION", "SESSION", "GLOBAL", "AUTOCOMMIT", "CHARSET")
+#: Settings that change nothing here: of MySQL, of T-SQL, and those that PostgreSQL clients send on connecting.
+_IGNORED_SET = (
+    "NAMES", "CHARACTER", "CHARSET", "TIME_ZONE", "SQL_MODE", "TRANSACTION", "SESSION", "GLOBAL", "LOCAL", "AUTOCOMMIT", "WAIT_TIMEOUT", "FOREIGN_KEY_CHECKS", "UNIQUE_CHECKS",
+    "NOCOUNT", "ANSI_NULLS", "QUOTED_IDENTIFIER", "XACT_ABORT", "ANSI_PADDING", "ANSI_WARNINGS", "ANSI_DEFAULTS", "ANSI_NULL_DFLT_ON", "ARITHABORT", "CONCAT_NULL_YIELDS_NULL", "CURSOR_CLOSE_ON_COMMIT", "IMPLICIT_TRANSACTIONS", "LANGUAGE", "DATEFORMAT", "DATEFIRST", "TEXTSIZE", "LOCK_TIMEOUT",
+    "CLIENT_ENCODING", "DATESTYLE", "SEARCH_PATH", "EXTRA_FLOAT_DIGITS", "APPLICATION_NAME", "STATEMENT_TIMEOUT", "STANDARD_CONFORMING_STRINGS", "CLIENT_MIN_MESSAGES",
+)
 
 
 def noop(sig: list[Token]) -> str | None:

@@ -195,3 +195,23 @@ def test_cache_is_by_dialect_and_bounded():
     with pytest.raises(SqlSyntaxError):
         cache.translate("SELECT 'x", PG)
     assert len(cache) == 2
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("SELECT a FROM t ORDER BY a OFFSET 2 ROWS FETCH NEXT 3 ROWS ONLY", "SELECT a FROM t ORDER BY a LIMIT 3 OFFSET 2"),
+        ("SELECT a FROM t FETCH FIRST ROW ONLY", "SELECT a FROM t LIMIT 1"),
+        ("SELECT a FROM t ORDER BY a OFFSET 1 ROW", "SELECT a FROM t ORDER BY a OFFSET 1"),
+        ("SELECT a FROM t LIMIT 1 OFFSET 2", "SELECT a FROM t LIMIT 1 OFFSET 2"),
+        ("SELECT SUM(a) OVER (ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t", "SELECT SUM(a) OVER (ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t"),
+        ("SELECT public.t.a, main.b FROM public.t JOIN main.u main ON t.a = main.a", "SELECT t.a, main.b FROM t JOIN u main ON t.a = main.a"),
+    ],
+)
+def test_fetch_and_schemas(sql, want):
+    assert " ".join(spark_text(sql, PG).split()) == want
+
+
+def test_fetch_with_ties_is_refused():
+    with pytest.raises(UnsupportedError):
+        translate("SELECT a FROM t ORDER BY a FETCH FIRST 2 ROWS WITH TIES", PG)
