@@ -521,9 +521,10 @@ def compile_lexicon(spark: SparkSession, docs: DataFrame, content: str, most: in
     finally:
         counts.unpersist()
     vocabulary = vocabulary_of(content)
-    raw = [w.encode() for w in words]
+    raw = [w.encode() for w in words if w]
+    lengths, ids = vocabulary.merge_many(raw)
     path = os.path.join(tempfile.mkdtemp(prefix="polygate-"), f"lexicon-{os.urandom(6).hex()}.bin")
-    Transducer.build((w, vocabulary.merge(w)) for w in raw if w).save(path)
+    Transducer.build(zip(raw, (x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])))).save(path)
     spark.sparkContext.addFile(path)
     return os.path.basename(path)
 
