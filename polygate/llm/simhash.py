@@ -16,7 +16,9 @@ fingerprints differ in about 10 bits, where no byte is sure to be shared.  With
 also takes a fingerprint of 256 positional bytes, one for each class of shingles: the hash of the class's smallest
 shingle, which is the SimHash of that one.  Lists are keyed by six positions at once; within a list the tally of equal
 positional bytes estimates the Jaccard similarity (standard error 0.025 at 0.8).  Pairs three errors below it form loose
-groups, and within those the whole shingle sets are compared, so what is linked has the similarity exactly.
+groups, and within those the whole shingle sets are compared, so what is linked has the similarity exactly.  Here texts
+collapse by a hash of the whole shingle set, never by fingerprint: one line that repeats often gives texts with little else
+in common equal fingerprints, which therefore only propose pairs (a list of their own).
 """
 
 from __future__ import annotations
@@ -126,19 +128,42 @@ def _placed(docs: DataFrame) -> DataFrame:
     return documents(docs).withColumn("at", F.xxhash64("doc_id", "text"))
 
 
+def _set_of(digests: list[bytes]) -> np.ndarray:
+    """The hashes of a text's shingles, sorted and without repeats."""
+    return np.unique(np.frombuffer(b"".join(digests), np.uint64))
+
+
+def _node(found: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole shingle set."""
+    n = xxhash.xxh3_64_intdigest(found.tobytes(), 42)
+    return n - (1 << 64) if n >> 63 else n
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, sketches: bool = False) -> DataFrame:
-    """(doc_id, fp[, at, sketch, keys]) with fp the signed 64-bit view of the fingerprint; one row for each row of ``docs``."""
+    """(doc_id, fp[, at, node, sketch, keys]) with fp the signed 64-bit view of the fingerprint; one row for each row of ``docs``.
+
+    node is the hash of the shingle set; the first key of a text with words is its fingerprint, the others are the sketch's.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = [batch.column("doc_id")]
-        made = [Sketch() if sketches else None for _ in range(batch.num_rows)]
-        fps = np.fromiter((fingerprint(t.as_py(), shingle, k) for t, k in zip(batch.column("text"), made)), np.uint64, batch.num_rows)
+        fps, nodes, made, keys = np.empty(batch.num_rows, np.uint64), [], [], []
+        for i, text in enumerate(batch.column("text")):
+            seen: list[bytes] | None = [] if sketches else None
+            fps[i] = fingerprint(text.as_py(), shingle, seen)
+            if sketches:
+                nodes.append(_node(_set_of(seen)))
+                sketch = Sketch()
+                for a in range(0, len(seen), _CHUNK):
+                    sketch.add(seen[a : a + _CHUNK])
+                made.append(sketch.bytes().tobytes())
+                keys.append(np.concatenate([fps[i : i + 1].view(np.int64), sketch.keys()]) if seen else sketch.keys())
         cols.append(pa.array(fps.view(np.int64)))
         if sketches:
-            cols += [batch.column("at"), pa.array([k.bytes().tobytes() for k in made], pa.binary()), pa.array([k.keys() for k in made], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "at", "sketch", "keys"][: len(cols)])
+            cols += [batch.column("at"), pa.array(nodes, pa.int64()), pa.array(made, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "at", "node", "sketch", "keys"][: len(cols)])
 
-    return map_batches(_placed(docs) if sketches else documents(docs), run, "doc_id long, fp long" + ", at long, sketch binary, keys array<long>" * sketches)
+    return map_batches(_placed(docs) if sketches else documents(docs), run, "doc_id long, fp long" + ", at long, node long, sketch binary, keys array<long>" * sketches)
 
 
 def _masks(minimum: int) -> list[int]:
@@ -348,75 +373,86 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _judged(lists: DataFrame, by: list[str], least: float, similarity: float) -> DataFrame:
-    """(a, b): links within each list of rows (``by``, fp, sketch[, set])."""
+    """(a, b): links within each list of rows (``by``, node, sketch[, set])."""
     cols = [F.col(c) for c in by]
     exact = "set" in lists.columns
-    names = ("fp", "sketch", "set")[: 2 + exact]
+    names = ("node", "sketch", "set")[: 2 + exact]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, by, names):
-            fp, sketch = group[len(by) : len(by) + 2]
-            x = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(fp), -1)
+            node, sketch = group[len(by) : len(by) + 2]
+            x = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
             sets = [np.frombuffer(s, np.uint64) for s in group[-1]] if exact else None
-            for a, b in _similar(fp, x, least, sets, similarity):
+            for a, b in _similar(node, x, least, sets, similarity):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    rows = lists.select(*by, *names).repartition(*cols).sortWithinPartitions(*cols, "fp")
+    rows = lists.select(*by, *names).repartition(*cols).sortWithinPartitions(*cols, "node")
     return map_arrow(rows, run, "a long, b long")
 
 
 def _posted(classes: DataFrame) -> DataFrame:
-    """(band, key, fp) of each list that has more than one fingerprint."""
+    """(band, key, node) of each list that has more than one node."""
     by = [F.col("band"), F.col("key")]
-    posted = classes.select("fp", F.posexplode("keys").alias("band", "key")).repartition(*by).sortWithinPartitions(*by, "fp")
+    posted = classes.select("node", F.posexplode("keys").alias("band", "key")).repartition(*by).sortWithinPartitions(*by, "node")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for group in _groups(batches, ["band", "key"], ("fp",)):
+        for group in _groups(batches, ["band", "key"], ("node",)):
             held.append(group)
             size += len(group[0])
             if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["band", "key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["band", "key", "node"])
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["band", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["band", "key", "node"])
 
-    return map_arrow(posted, shared, "band int, key long, fp long")
+    return map_arrow(posted, shared, "band int, key long, node long")
 
 
 def _sets(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """``members`` (fp, at, ...) with the sorted hashes of all shingles of a text that has the fingerprint."""
-    rows = _placed(docs).join(members.select("fp", "at"), "at").select("fp", "text")
+    """``members`` (node, at, ...) with the sorted hashes of all shingles of the node's text."""
+    rows = _placed(docs).join(members.select("node", "at"), "at").select("node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        fps, out = [], []
-        for fp, text in zip(batch.column("fp").to_pylist(), batch.column("text")):
-            seen: list[bytes] = []
-            if fingerprint(text.as_py(), shingle, seen) == fp % (1 << 64):
-                fps.append(fp)
-                out.append(np.unique(np.frombuffer(b"".join(seen), np.uint64)).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(out, pa.binary())], names=["fp", "set"])
+        nodes, out = [], []
+        for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
+            found = _set_of([d for some in _shingles(text.as_py(), shingle) for d in some])
+            if _node(found) == node:
+                nodes.append(node)
+                out.append(found.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "set"])
+
+    found = map_batches(rows, run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))  # rows may repeat
+    return members.drop("at").join(found, "node")
+
 
-    found = map_batches(rows, run, "fp long, set binary").groupBy("fp").agg(F.first("set").alias("set"))  # rows may repeat
-    return members.drop("at").join(found, "fp")
+def _proposed(classes: DataFrame, close: DataFrame) -> DataFrame:
+    """(a, b): the links between fingerprints in ``close`` as links between nodes, all nodes of such a fingerprint tied."""
+    ends = close.select(F.col("a").alias("fp")).union(close.select("b")).distinct()
+    mine = classes.select("fp", "node").join(ends, "fp")
+    first = mine.groupBy("fp").agg(F.min("node").alias("first"))
+    ties = mine.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    left, right = (first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in "ab")
+    pairs = close.distinct().join(left, "a").join(right, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return pairs.unionByName(ties)
 
 
 def similar_links(spark: SparkSession, docs: DataFrame, classes: DataFrame, close: DataFrame, shingle: int, similarity: float, stage: Staged) -> DataFrame:
-    """(a, b): links between fingerprints of texts whose shingles have the Jaccard similarity or more.
+    """(a, b): links between nodes of texts whose shingles have the Jaccard similarity or more.
 
-    Sketches and ``close`` pick loose groups first: three standard errors below the similarity.  Within a group the
+    Sketches and ``close`` (links between fingerprints) pick loose groups first: three standard errors below the similarity.  Within a group the
     shingle sets decide.  A group of over ``_GROUP`` texts goes by its lists instead, so no task gets all of it.
     """
     least = similarity - 3 * (similarity * (1 - similarity) / Sketch.CLASSES) ** 0.5
     posted = stage.save(_posted(classes), "posted")
-    lists = posted.join(classes.select("fp", "sketch"), "fp")
-    loose = stage.save(close.unionByName(_judged(lists, ["band", "key"], least, 0.0)), "loose")
+    lists = posted.join(classes.select("node", "sketch"), "node")
+    loose = stage.save(_proposed(classes, close).unionByName(_judged(lists, ["band", "key"], least, 0.0)), "loose")
     groups = stage.save(components(spark, loose), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = classes.join(groups, classes.fp == groups.node).join(sizes, "root").select("root", "n", "fp", "at", "sketch")
+    members = classes.join(groups, "node").join(sizes, "root").select("root", "n", "node", "at", "sketch")
     members = stage.save(_sets(stage.save(members, "members"), docs, shingle), "sets")
     small = _judged(members.where(F.col("n") <= _GROUP), ["root"], least, similarity)
-    large = posted.join(members.where(F.col("n") > _GROUP).select("fp", "sketch", "set"), "fp")
+    large = posted.join(members.where(F.col("n") > _GROUP).select("node", "sketch", "set"), "node")
     return small.unionByName(_judged(large, ["band", "key"], least, similarity))
 
 
@@ -424,30 +460,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
 
     Fingerprints that differ in at most ``max_bits`` bits are linked, over any number of steps; component_id is the
-    smallest doc_id reachable.  With ``similarity`` equal fingerprints are linked, and texts whose word shingles have
-    that Jaccard similarity or more; the bits then only propose pairs.  Null and wordless texts have fingerprint 0 and are linked like any other.  Rows that repeat a doc_id
-    are each returned.  A null doc_id takes part; a component of null ids only has a null id.  An empty table gives an
+    smallest doc_id reachable.  With ``similarity`` texts are linked whose word shingles have that Jaccard similarity or
+    more; equal and close fingerprints then only propose pairs.  Null and wordless texts have fingerprint 0 and are
+    linked like any other.  Rows that repeat a doc_id are each returned.  A null doc_id takes part; a component of null ids only has a null id.  An empty table gives an
     empty one.
     """
     stage = Staged(spark)
     fps = stage.save(fingerprints(docs, shingle, similarity is not None), "fp")
+    key = "fp" if similarity is None else "node"
     if similarity is None:
         classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     else:
-        first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "at", "sketch", "keys"))
-        classes = fps.groupBy("fp").agg(first.alias("s")).select("fp", F.col("s.doc_id").alias("first_id"), "s.at", "s.sketch", "s.keys")
+        first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "doc_id", "at", "fp", "sketch", "keys"))
+        classes = fps.groupBy("node").agg(first.alias("s")).select("node", F.col("s.doc_id").alias("first_id"), "s.at", "s.fp", "s.sketch", "s.keys")
     classes = stage.save(classes, "class")
-    found = links(classes.select("fp"), max_bits)
+    distinct = classes.select("fp")
+    found = links(distinct if similarity is None else distinct.distinct(), max_bits)
     if similarity is not None:
-        found = similar_links(spark, docs, classes, found, shingle, similarity, stage)
+        found = similar_links(spark, docs, classes, stage.save(found, "close"), shingle, similarity, stage)
     roots = components(spark, stage.save(found, "link"))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = classes.join(roots.withColumnRenamed("node", key), key, "left").select(key, "first_id", F.coalesce("root", key).alias("root"))
     named = stage.save(named, "root")
-    # staged, so that both sides of the join are exchanged and a component that holds many fingerprints can be split
+    # staged, so that both sides of the join are exchanged and a component that holds many nodes can be split
     least = stage.save(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    ids = stage.save(named.join(least, "root").select("fp", "component_id"), "id")
-    stage.drop("class", "link", "root", "least", "posted", "loose", "groups", "members", "sets")
-    return fps.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = stage.save(named.join(least, "root").select(key, "component_id"), "id")
+    stage.drop("class", "close", "link", "root", "least", "posted", "loose", "groups", "members", "sets")
+    return fps.join(ids, key).select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp) -> F.Column:

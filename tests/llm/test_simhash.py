@@ -190,3 +190,17 @@ def test_large_lists_are_dealt_again():
     fp = np.arange(len(x))
     links = [(a, b) for l, r in simhash._similar(fp, x, 0.775) for a, b in zip(l.tolist(), r.tolist())]
     assert brute_groups(len(fp), links) == [i // 1500 * 1500 for i in range(len(fp))]
+
+
+def test_equal_fingerprints_only_propose(spark):
+    rng = random.Random(8)
+    line = " ".join(f"l{i}" for i in range(9))
+    texts = []
+    for _ in range(6):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        texts.append(" ".join([*own, *[line] * 100]))
+        texts.append(" ".join([*own[:60], "x", *own[61:], *[line] * 100]))
+    assert len({simhash.fingerprint(t, 5) for t in texts}) < 12
+    rows = [(i, t, None, "clash") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 5, 4, 0.8).collect()}
+    assert got == {i: i // 2 * 2 for i in range(12)}
