@@ -4,9 +4,12 @@ A text becomes words; numbers, names (capitalised inside a sentence) and units t
 goes to lower case.  Windows of ``WINDOW`` canonical words are hashed, those of benchmark items into a sorted table, and
 a document's windows look it up.  A hit on a template with slots counts only if the slots are consistent: along one
 alignment of item and document each slot value of the item stands for one value of the document.  Windows of plain
-lower-case words are a second key, so that a passage in capitals is found as well.
+lower-case words are a second key, so that a passage in capitals is found as well.  A third takes capitalised words that
+open a sentence for slots too, as they may be names.
 
-An item is reported for a document if hits on one alignment cover at least ``min(RUN, half)`` of its words.
+An item is reported for a document if hits on one alignment cover at least ``min(RUN, half)`` of its words.  Windows
+mostly of slots say too little for that: they only propose an alignment, on which then the whole item must agree, literals
+and kinds of slots, with consistent slots.  An item of fewer than ``LEAST`` words is looked for as a whole, word for word.
 
 The benchmark's table is sent to executors only within ``TABLE_BYTES``; a larger benchmark is taken in slices of that
 size, each one pass over the documents.  Documents are never shuffled.
@@ -28,7 +31,7 @@ from polygate.llm.common import documents, map_arrow
 
 WINDOW = 8
 RUN = 13  # words on one alignment that always suffice
-LEAST = 4  # items of fewer words are never looked for: they would match by chance
+LEAST = 4  # items of fewer words have no templates, and only match as a whole
 TABLE_BYTES = 64 << 20
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?]+")
 UNITS = frozenset("mm cm m km g kg mg t l ml s min h kmh mph hz w kw v a j n pa c f inch inches foot feet yard yards mile miles pound pounds ounce ounces gram grams kilogram kilograms meter meters metre metres kilometer kilometers liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split())
@@ -37,6 +40,7 @@ _LITERAL, _NUMBER, _CAPITAL, _UNIT, _STOP = range(5)
 _MULT = _U(0x9E3779B97F4A7C15)
 _SLOT = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC909, 0], _U)
 _FILTER, _TEXTS = 20, 64
+_PLAIN, _TEMPLATE, _OPEN = range(3)  # kinds of keys; windows of the last two that are mostly slots are known by place
 _RUN_SCHEMA = "doc_id long, item_id long, kind string, n_words int, covered int, first_word int"
 
 
@@ -70,10 +74,11 @@ class Words(dict):
 
 
 class Canon:
-    """A text's plain word hashes, canonical hashes and which words are slots; texts that follow one another share arrays."""
+    """A text's hashes by kind of key and which words are then slots; texts that follow one another share arrays."""
 
-    def __init__(self, plain: np.ndarray, canon: np.ndarray, slot: np.ndarray, ends: np.ndarray) -> None:
-        self.plain, self.canon, self.slot, self.ends = plain, canon, slot, ends
+    def __init__(self, hashes: list[np.ndarray], slots: list[np.ndarray], ends: np.ndarray) -> None:
+        self.hashes, self.slots, self.ends = hashes, slots, ends
+        self.plain = hashes[_PLAIN]
 
     @classmethod
     def of(cls, texts: list[str | None], words: Words) -> Canon:
@@ -86,14 +91,16 @@ class Canon:
         starts = np.concatenate([[True], ~real[:-1]]) if len(kind) else np.empty(0, bool)
         ends = np.cumsum(sizes)
         starts[(ends - sizes)[sizes > 0]] = True
-        kind[(kind == _CAPITAL) & starts] = _LITERAL
-        plain, kind = hashes[codes[real]], kind[real]
+        plain, kind, starts = hashes[codes[real]], kind[real], starts[real]
         slot = kind != _LITERAL
-        return cls(plain, np.where(slot, _SLOT[kind], plain), slot, np.concatenate([[0], np.cumsum(real)])[ends])
+        canon = np.where(slot, _SLOT[kind], plain)
+        opens = (kind == _CAPITAL) & starts
+        keys, slots = [plain, np.where(opens, plain, canon), canon], [np.zeros(len(slot), bool), slot & ~opens, slot]
+        return cls(keys, slots, np.concatenate([[0], np.cumsum(real)])[ends])
 
     def text(self, i: int) -> Canon:
         a, b = (int(self.ends[i - 1]) if i else 0), int(self.ends[i])
-        return Canon(self.plain[a:b], self.canon[a:b], self.slot[a:b], np.array([b - a]))
+        return Canon([x[a:b] for x in self.hashes], [x[a:b] for x in self.slots], np.array([b - a]))
 
 
 def window_hashes(x: np.ndarray, width: int) -> np.ndarray:
@@ -114,37 +121,36 @@ class Table:
         words = Words()
         self.ids = [i for i, _ in items]
         self.items = [Canon.of([t], words) for _, t in items]
-        self.widths = sorted({min(WINDOW, len(c.plain)) for c in self.items if len(c.plain) >= LEAST})
-        self.keys: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.seen: dict[tuple[int, bool], np.ndarray] = {}  # by a hash's first bits: whether any window has them
+        self.widths = sorted({min(WINDOW, len(c.plain)) for c in self.items if len(c.plain)})
+        self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.seen: dict[tuple[int, int], np.ndarray] = {}  # by a hash's first bits: whether any window has them
         for w in self.widths:
-            mine = [i for i, c in enumerate(self.items) if len(c.plain) >= LEAST and min(WINDOW, len(c.plain)) == w]
-            for template in (False, True):
+            mine = [i for i, c in enumerate(self.items) if min(WINDOW, len(c.plain)) == w]
+            for key in (_PLAIN, _TEMPLATE, _OPEN) if w >= LEAST else (_PLAIN,):
                 parts = []
                 for i in mine:
                     c = self.items[i]
-                    h = window_hashes(c.canon if template else c.plain, w)
-                    if template:  # a template without slots is a plain window; one mostly of slots says too little
-                        slots = np.convolve(c.slot, np.ones(w, int), "valid")
-                        keep = (slots > 0) & (2 * slots <= w)
-                    else:
-                        keep = np.ones(len(h), bool)
+                    h = window_hashes(c.hashes[key], w)
+                    keep = np.ones(len(h), bool)
+                    if key:  # one that is no other than in the key before adds nothing, nor do slots alone
+                        slots, fewer = (np.convolve(c.slots[k], np.ones(w, int), "valid") for k in (key, key - 1))
+                        keep = (slots > fewer) & (slots < w)
                     at = np.flatnonzero(keep)
                     parts.append((h[at], np.full(len(at), i), at))
                 h, item, at = (np.concatenate(x) for x in zip(*parts))
                 o = np.argsort(h, kind="stable")
-                self.keys[w, template] = h[o], item[o], at[o]
-                self.seen[w, template] = seen = np.zeros(1 << _FILTER, bool)
+                self.keys[w, key] = h[o], item[o], at[o]
+                self.seen[w, key] = seen = np.zeros(1 << _FILTER, bool)
                 seen[h >> _U(64 - _FILTER)] = True
 
-    def hits(self, texts: Canon) -> Iterator[tuple[int, int, int, int, int, bool]]:
-        """(text, item, place in it, place in the text, width, whether by template) of each equal window."""
+    def hits(self, texts: Canon) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item, place in it, place in the text, width, kind of key) of each equal window."""
         begins = np.concatenate([[0], texts.ends[:-1]])
-        for (w, template), (h, item, at) in self.keys.items():
-            if not len(h) or template and not texts.slot.any():
+        for (w, key), (h, item, at) in self.keys.items():
+            if not len(h) or key and not texts.slots[key].any():
                 continue
-            mine = window_hashes(texts.canon if template else texts.plain, w)
-            maybe = np.flatnonzero(self.seen[w, template][mine >> _U(64 - _FILTER)])
+            mine = window_hashes(texts.hashes[key], w)
+            maybe = np.flatnonzero(self.seen[w, key][mine >> _U(64 - _FILTER)])
             lo = np.searchsorted(h, mine[maybe], "left")
             same = np.flatnonzero((lo < len(h)) & (h[np.minimum(lo, len(h) - 1)] == mine[maybe]))
             text = np.searchsorted(texts.ends, maybe[same], "right")
@@ -152,43 +158,61 @@ class Table:
                 if p + w > texts.ends[i]:
                     continue  # the window runs into the next text
                 while q < len(h) and h[q] == mine[p]:
-                    yield int(i), int(item[q]), int(at[q]), int(p - begins[i]), w, template
+                    yield int(i), int(item[q]), int(at[q]), int(p - begins[i]), w, key
                     q += 1
 
     def judge(self, texts: Canon) -> Iterator[tuple[int, list[tuple[int, str, int, int, int]]]]:
         """(text, rows) of each text that holds an item; rows: item_id, kind, words of the item, words covered, first word."""
-        found: dict[int, dict[tuple[int, int], list[tuple[int, int, bool]]]] = defaultdict(lambda: defaultdict(list))
-        for i, item, at, p, w, template in self.hits(texts):
-            found[i][item, p - at].append((at, w, template))
+        found: dict[int, dict[tuple[int, int], list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for i, item, at, p, w, key in self.hits(texts):
+            found[i][item, p - at].append((at, w, key))
         for i in sorted(found):
             if rows := self.judge_one(texts.text(i), found[i]):
                 yield i, rows
 
-    def judge_one(self, doc: Canon, by: dict[tuple[int, int], list[tuple[int, int, bool]]]) -> list[tuple[int, str, int, int, int]]:
+    def judge_one(self, doc: Canon, by: dict[tuple[int, int], list[tuple[int, int, int]]]) -> list[tuple[int, str, int, int, int]]:
         best: dict[int, tuple] = {}
         for (item, shift), found in by.items():
             c = self.items[item]
-            plain, both = set(), set()
-            for at, w, template in found:
-                if not template:
-                    plain.update(range(at, at + w))
-                both.update(range(at, at + w))
-            need = min(RUN, -(-len(c.plain) // 2))
-            kind = "exact" if len(plain) >= need else "template"
-            cover = plain if kind == "exact" else both
-            if len(cover) < need or (kind == "template" and not self.consistent(c, doc, sorted(both - plain), shift)):
-                continue
-            row = (self.ids[item], kind, len(c.plain), len(cover), min(cover) + shift)
+            n = len(c.plain)
+            need = min(RUN, -(-n // 2)) if n >= LEAST else n
+            covers: list[set[int]] = [set(), set(), set()]  # by the kinds of keys up to each
+            agree: set[int] = set()  # also in windows mostly of slots
+            for at, w, key in found:
+                agree.update(range(at, at + w))
+                if not key or 2 * c.slots[key][at : at + w].sum() <= w:
+                    for cover in covers[key:]:
+                        cover.update(range(at, at + w))
+            kind, cover = "exact" if len(covers[_PLAIN]) >= need else "template", covers[_PLAIN]
+            if kind == "template":
+                for key in (_TEMPLATE, _OPEN):
+                    cover = covers[key]
+                    if len(cover) >= need and self.consistent(c, doc, sorted((agree if key == _OPEN else cover) - covers[_PLAIN]), shift, key):
+                        break
+                    if any(k == key for _, _, k in found) and self.whole(c, doc, shift, key):
+                        cover = set(range(n))
+                        break
+                else:
+                    continue
+            row = (self.ids[item], kind, n, len(cover), min(cover) + shift)
             if item not in best or row[3] > best[item][3]:
                 best[item] = row
         return sorted(best.values())
 
+    @classmethod
+    def whole(cls, item: Canon, doc: Canon, shift: int, key: int) -> bool:
+        """Whether the document holds the whole item there, literals and kinds of slots, with consistent slots."""
+        n = len(item.plain)
+        if shift < 0 or not np.array_equal(item.hashes[key], doc.hashes[key][shift : shift + n]):
+            return False
+        return cls.consistent(item, doc, list(range(n)), shift, key)
+
     @staticmethod
-    def consistent(item: Canon, doc: Canon, places: list[int], shift: int) -> bool:
+    def consistent(item: Canon, doc: Canon, places: list[int], shift: int, key: int) -> bool:
         """Whether each slot value of the item stands for one value of the document."""
         means: dict[int, int] = {}
         for p in places:
-            if item.slot[p]:
+            if item.slots[key][p]:
                 a, b = int(item.plain[p]), int(doc.plain[p + shift])
                 if means.setdefault(a, b) != b:
                     return False
@@ -214,8 +238,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """(doc_id, item_id, kind, n_words, covered, first_word): each benchmark item that a row of ``docs`` holds.
 
     kind is ``exact``, or ``template`` where only numbers, names or units differ, consistently.  Documents without
-    an item have no row; null and empty texts, and items of fewer than four words, match nothing; an item_id that
-    repeats is looked for with each of its texts.  A null doc_id is reported as null.  A benchmark of any size is
+    an item have no row; null and empty texts match nothing; items of fewer than four words match only as a whole, word
+    for word; an item_id that repeats is looked for with each of its texts.  A null doc_id is reported as null.  A benchmark of any size is
     covered: it's taken in slices.
     """
     rows, out = documents(docs), None

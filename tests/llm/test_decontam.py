@@ -39,3 +39,17 @@ def test_slots_must_be_consistent():
 
 def test_empty(spark):
     assert find(spark, [], [(1, ITEM)]) == {} and find(spark, [(1, ITEM)], []) == {}
+
+
+def test_items_of_slots_names_and_few_words():
+    items = ["What is 12 + 35 * 4?", "Convert 5 km to m.", "Add 4 kg 300 g and 2 kg 900 g.", "Anna has 12 apples. Anna gives Ben 5. How many are left?", "Name three primes", "小明有三个苹果，还剩几个？", "12 35 4 16"]
+    t = decontam.Table(list(enumerate(items)))
+    say = lambda text: [r[:2] for _, rows in t.judge(decontam.Canon.of(["x", text, None], decontam.Words())) for r in rows]
+    for i, text in enumerate(items):
+        assert say(f"some words before it, {text} And some after") == [(i, "exact")]
+    assert say("quiz: What is 7 + 81 * 9? Say it") == [(0, "template")]
+    assert say("so Convert 12 miles to yards. now") == [(1, "template")]
+    assert say("Add 7 lb.") == [] and say("Add 1 kg 250 g and 6 kg 80 g.") == [(2, "template")]
+    assert say("Zoe has 9 apples. Zoe gives Tim 3. How many are left?") == [(3, "template")]
+    assert say("Zoe has 9 apples. Max gives Tim 3. How many are left?") == []  # Anna can't be both
+    assert say("Add 1 kg 250 g and 6 miles 80 g.") == [] and say("name three of the primes") == [] and say("7 8 9 10 11") == []
