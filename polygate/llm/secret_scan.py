@@ -1,7 +1,8 @@
 """Secrets in text: known shapes, and high entropy in a sliding window.
 
-Candidate strings of at least ``WINDOW`` characters are classed by the characters they use (hexadecimal, or letters
-and digits mixed as in base 64).  A window slides over a candidate; counts of its characters and the sum of
+Candidate strings of at least ``WINDOW`` characters are classed by the characters they use (hexadecimal, letters of both
+cases and digits as in base 64, or digits with lower-case letters only as in base 36, or with upper-case letters only as in
+base 32).  The classes of one case take the pieces between separators one by one, else every path in words would be one.  A window slides over a candidate; counts of its characters and the sum of
 ``c log c`` change by two entries a step, so its Shannon entropy costs the same whatever the window.  Candidates whose
 best window reaches the class's threshold are reported unless the allow-list knows their form.
 """
@@ -25,8 +26,12 @@ BASE = ("assign", "access", "hex")
 WINDOW = 20
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Bits a character in the best window, by class.
-THRESHOLD = {"hex": 3.0, "mixed": 3.9}
+THRESHOLD = {"hex": 3.0, "mixed": 3.9, "lower": 3.4, "upper": 3.3}
 _HEX_ONLY = re.compile(r"[0-9a-fA-F]+\Z")
+_PIECE = re.compile(r"[A-Za-z0-9]{%d,}" % WINDOW)
+_ONE_CASE = {"lower": re.compile(r"(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]+\Z"), "upper": re.compile(r"(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]+\Z")}
+_SAMPLE = re.compile(r"(?i).*(?:example|sample|placeholder|your[-_]|xxxx|0123456789)")
+_NUMBERED_WORDS = re.compile(r"[0-9]*(?:[a-z]{4,}[0-9]+)*(?:[a-z]{4,})?\Z")
 #: Forms that are no secrets: decimals, identifiers in words, padding, UUIDs, sample values.
 ALLOW = tuple(re.compile(p) for p in (
     r"[0-9+/_=-]+\Z",
@@ -34,7 +39,7 @@ ALLOW = tuple(re.compile(p) for p in (
     r"(?:[A-Z][a-z]+)+[0-9]{0,4}\Z",
     r"[A-Z]+(?:[-_/][A-Z0-9]+)*\Z",
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z",
-    r"(?i).*(?:example|sample|placeholder|your[-_]|xxxx|0123456789)",
+    _SAMPLE.pattern,
 ))
 
 
@@ -68,8 +73,16 @@ def allowed(s: str) -> bool:
     return any(p.match(s) for p in ALLOW)
 
 
+def _one_case(s: str) -> bool:
+    """Whether a piece of digits and letters of one case looks random."""
+    kind = next((k for k, p in _ONE_CASE.items() if p.match(s)), None)
+    return kind is not None and not allowed(s) and not _NUMBERED_WORDS.match(s) and window_entropy(s) >= THRESHOLD[kind]
+
+
 def high_entropy(s: str) -> bool:
     """Whether a candidate string looks random for its class of characters."""
+    if not _HEX_ONLY.match(s) and not _SAMPLE.match(s) and any(_one_case(m.group()) for m in _PIECE.finditer(s)):
+        return True
     if allowed(s):
         return False
     if _HEX_ONLY.match(s):

@@ -53,3 +53,13 @@ def test_table(spark):
     got = S.scan(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, len(r.spans), (r.redacted or "-")[:8]) for r in got) == [(0, 0, "-"), (1, 0, "-"), (1, 1, "[assign]"), (2, 0, "xxxxxxxx")]
     assert S.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_case_with_digits():
+    for key in ("k3j9x2m8q7w5z1v4b6n0tgyh", "JBSWY3DPEHPK3PXPKRUGS4ZANFZXG5A2", "KEY_JBSWY3DPEHPK3PXPKRUGS4ZANFZXG5A2", "sk-k3j9x2m8q7w5z1v4b6n0tgyh"):
+        assert S.spans(f"a {key} b") == [(2, "entropy", 2 + len(key))], key
+    for clean in ("com/2024/01/how-to-do-things-in-10-days", "2024-01-report-final-v2-of-march", "step2verificationservice", "REPORT-2024-FINAL-V2-OF-MARCH", "zzzzzzzz1111111122222222"):
+        assert S.spans(f"a {clean} b") == [], clean
+    rng = random.Random(4)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz0123456789", 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.95)):
+        assert sum(S.high_entropy("".join(rng.choices(letters, k=24))) for _ in range(2000)) > 2000 * least
