@@ -60,7 +60,7 @@ _add("A5_values", PG, "SELECT * FROM (VALUES (1, 'x'), (2, 'y')) AS v(i, s)")
 # --- B: projection and predicates -----------------------------------------------------------------------------------
 _add("B1_project_alias", TS, "SELECT [c_custkey] AS [key], c_acctbal * 2 AS twice FROM [customer]", "SELECT c_custkey AS key, c_acctbal * 2 AS twice FROM customer")
 _add("B2_filter", MY, "SELECT `o_orderkey` FROM `orders` WHERE (o_orderstatus = \"F\" AND o_totalprice > 1000) OR o_custkey = 7", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND o_totalprice > 1000) OR o_custkey = 7")
-_add("B3_arithmetic", PG, "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_quantity - 1 AS q FROM lineitem WHERE l_quantity <> 10 AND l_orderkey % 7 = 3")
+_add("B3_arithmetic", PG, "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, l_quantity - 1 AS q, l_orderkey % 7 AS m FROM lineitem WHERE l_quantity <> 10")
 _add("B4_between", MY, "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 0 AND 900")
 _add("B5_is_null", PG, "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL AND c_name IS NOT NULL")
 _add("B6_in_list", TS, "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey IN (1, 3, 5) AND c_mktsegment NOT IN (N'BUILDING')", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_nationkey IN (1, 3, 5) AND c_mktsegment NOT IN ('BUILDING')")
@@ -74,7 +74,7 @@ _add("B13_scalar_subquery", PG, "SELECT c_custkey, (SELECT COUNT(*) FROM orders
 _add("B14_in_subquery", MY, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49))")
 _add("B15_exists", TS, "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 _add("B16_booleans", PG, "SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders WHERE TRUE AND NOT FALSE AND (o_orderstatus = 'F') = TRUE")
-_add("B17_cast", PG, "SELECT o_orderkey::text AS k, CAST(o_totalprice AS INT8) AS whole FROM orders WHERE o_orderkey < 100", "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(trunc(o_totalprice) AS BIGINT) AS whole FROM orders WHERE o_orderkey < 100")
+_add("B17_cast", PG, "SELECT o_orderkey::text AS k, CAST(o_totalprice AS INT8) AS whole FROM orders", "SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(trunc(o_totalprice) AS BIGINT) AS whole FROM orders")
 _add("B18_placeholders", PG, "SELECT o_orderkey FROM orders WHERE o_orderstatus = $2 AND o_custkey > $1 AND o_orderkey > $1", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey > 20 AND o_orderkey > 20", [20, "O"])
 _add("B19_quoting", LITE, 'SELECT "r_name" AS "the name", [r_regionkey] AS `the key` FROM "region"', 'SELECT r_name AS "the name", r_regionkey AS "the key" FROM region')
 
@@ -110,8 +110,8 @@ _add("E1_ranking", PG, "SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITI
 _add("E1_frames", MY, "SELECT o_custkey, o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, LAG(o_orderkey, 1, 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders")
 
 # --- F, G: order, limits, sets, CTEs --------------------------------------------------------------------------------
-_add("F1_order_by", PG, "SELECT c_custkey, c_name FROM customer ORDER BY c_mktsegment DESC, c_custkey ASC LIMIT 25")
-_add("F2_order_by_expr", MY, "SELECT p_partkey FROM part ORDER BY p_size * -1, LOWER(p_name), p_partkey LIMIT 30")
+_add("F1_order_by", PG, "SELECT c_custkey, c_name FROM customer ORDER BY c_mktsegment DESC, c_custkey ASC")
+_add("F2_order_by_expr", MY, "SELECT p_partkey FROM part ORDER BY p_size * -1, LOWER(p_name), p_partkey")
 _add("F3_limit_offset", PG, "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 _add("F4_limit_comma", MY, "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5, 10", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 _add("F5_top", TS, "SELECT TOP (7) o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7")

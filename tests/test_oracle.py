@@ -57,3 +57,13 @@ def test_entry(spark):
     assert 0 < df.count() <= 10
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("key, table, kept", [("B17_cast", "orders", "TRUE"), ("B3_arithmetic", "lineitem", "l_quantity <> 10"), ("F1_order_by", "customer", "TRUE"), ("F2_order_by_expr", "part", "TRUE")])
+def test_whole_tables(spark, duck, key, table, kept):
+    assert QUERIES[key](spark, SF).count() == duck.execute(f"SELECT COUNT(*) FROM {table} WHERE {kept}").fetchone()[0]
+
+
+def test_order_of_all_rows(spark, duck):
+    for key in ("F1_order_by", "F2_order_by_expr"):
+        assert [r[0] for r in QUERIES[key](spark, SF).collect()] == [r[0] for r in duck.execute(ORACLE_SQL[key]).fetchall()]
