@@ -6,8 +6,8 @@
 4. secret scans: secrets are replaced in the text, all documents stay;
 5. BPE encoding and decoding: ids and their round trip.
 
-Stages 1 to 4 return the columns of ``documents``.  A document without an id can't be told apart from others by later
-stages and goes in the first; rows that repeat an id share its fate, and stage 2 leaves one of them.
+Stages 1 to 4 return the columns of ``documents``.  Rows are followed by a hash of id and text, so each goes or stays for
+its own text, whether its id is null or repeats; of rows equal in both, stage 2 leaves one.
 """
 
 from __future__ import annotations
@@ -22,31 +22,30 @@ from polygate.llm.common import scratch
 from polygate.llm.queries import tokenizer
 
 
-def _ids(df: DataFrame) -> DataFrame:
-    return df.select("doc_id").distinct()
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` and each row's place, by which a row is followed: ids may be null or repeat."""
+    return docs.withColumn("_at", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier, fitted on the labels, accepts (score 0.3 or more)."""
-    scored = quality.classify(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
-    kept = scored.groupBy("doc_id").agg(F.min("predicted").alias("least")).where("least = 1 and doc_id is not null")
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    scored = quality.classify(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3, rows=True)
+    kept = scored.where("predicted = 1").select(F.col("at").alias("_at")).distinct()
+    return _placed(docs).join(kept, "_at", "left_semi").select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, once."""
-    groups = simhash.near_duplicates(spark, docs, shingle=5, max_bits=4, similarity=0.8)
-    kept = _ids(groups.where("doc_id = component_id"))
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near copies: the smallest doc_id's, null ids last."""
+    groups = simhash.near_duplicates(spark, docs, shingle=5, max_bits=4, similarity=0.8, rows=True)
+    kept = groups.where("at = keep").select(F.col("at").alias("_at")).distinct()
+    return _placed(docs).join(kept, "_at", "left_semi").dropDuplicates(["_at"]).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, word for word or with other numbers, names or units."""
-    found = decontam.contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(_ids(found), "doc_id", "left_anti").select(*docs.columns)
+    rows = _placed(docs)
+    found = decontam.contaminated(spark, rows.select(F.col("_at").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("_at")).distinct(), "_at", "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return map_arrow(df, run, schema)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, at): ``at`` finds a text again, also where ids are null or repeat."""
+    return documents(docs).withColumn("at", F.xxhash64("doc_id", "text"))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the text operators need, so that others, whatever their names, never clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

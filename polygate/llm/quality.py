@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polygate.llm.common import Staged, documents, map_arrow, map_batches
+from polygate.llm.common import Staged, documents, map_arrow, map_batches, placed
 
 FEATURES = 256  # random Fourier features
 BINS = 4096
@@ -71,14 +71,15 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def statistics_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of every row of ``docs`` (doc_id, text)."""
+def statistics_of(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """(doc_id, x[, at]): the statistics of every row of ``docs`` (doc_id, text); with ``rows`` also its place."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [statistics(t.as_py()) for t in batch.column("text")]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        cols = [batch.column("doc_id"), pa.array(x, pa.list_(pa.float64())), *(batch.column("at") for _ in range(rows))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "x", "at"][: len(cols)])
 
-    return map_batches(documents(docs), run, "doc_id long, x array<double>")
+    return map_batches(placed(docs) if rows else documents(docs), run, "doc_id long, x array<double>" + ", at long" * rows)
 
 
 @dataclass
@@ -192,15 +193,15 @@ def fold(doc_id) -> F.Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 5).cast("int")
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text).
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep_text: bool = False, rows: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted[, at]) for every row of ``docs`` (doc_id, text).
 
     Learns from rows of ``labels`` (doc_id, quality) with a label and an id whose fold isn't 0.  Labels of unknown
     documents and null labels are ignored; repeated ones each count.  Null texts score as empty ones.  Without any
-    label every score is one constant.  A null id is held out.
+    label every score is one constant.  A null id is held out.  With ``rows`` at is the row's place as in ``placed``.
     """
     stage = Staged(spark)
-    stats = stage.save(statistics_of(docs), "statistics")
+    stats = stage.save(statistics_of(docs, rows), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
     train = stats.join(known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0"), "doc_id").select("x", "y", "fold")
     train = stage.save(train, "train")
@@ -209,8 +210,9 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = model.score(_stack(batch))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
+        cols = [batch.column("doc_id"), pa.array(s), *(batch.column("at") for _ in range(rows))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "at"][: len(cols)])
 
-    out = map_batches(stats, run, "doc_id long, score double")
+    out = map_batches(stats, run, "doc_id long, score double" + ", at long" * rows)
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(True))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["at"] * rows)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polygate.llm.common import Staged, documents, map_arrow, map_batches
+from polygate.llm.common import Staged, documents, map_arrow, map_batches, placed
 from polygate.llm.components import components
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -123,11 +123,6 @@ class Sketch:
         return out.view(np.int64)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, at): ``at`` finds a text again, also where ids are null or repeat."""
-    return documents(docs).withColumn("at", F.xxhash64("doc_id", "text"))
-
-
 def _set_of(digests: list[bytes]) -> np.ndarray:
     """The hashes of a text's shingles, sorted and without repeats."""
     return np.unique(np.frombuffer(b"".join(digests), np.uint64))
@@ -163,7 +158,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, sketches: bool = False) -> D
             cols += [batch.column("at"), pa.array(nodes, pa.int64()), pa.array(made, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "at", "node", "sketch", "keys"][: len(cols)])
 
-    return map_batches(_placed(docs) if sketches else documents(docs), run, "doc_id long, fp long" + ", at long, node long, sketch binary, keys array<long>" * sketches)
+    return map_batches(placed(docs) if sketches else documents(docs), run, "doc_id long, fp long" + ", at long, node long, sketch binary, keys array<long>" * sketches)
 
 
 def _masks(minimum: int) -> list[int]:
@@ -411,7 +406,7 @@ def _posted(classes: DataFrame) -> DataFrame:
 
 def _sets(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """``members`` (node, at, ...) with the sorted hashes of all shingles of the node's text."""
-    rows = _placed(docs).join(members.select("node", "at"), "at").select("node", "text")
+    rows = placed(docs).join(members.select("node", "at"), "at").select("node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         nodes, out = [], []
@@ -456,14 +451,15 @@ def similar_links(spark: SparkSession, docs: DataFrame, classes: DataFrame, clos
     return small.unionByName(_judged(large, ["band", "key"], least, similarity))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_bits: int = 4, similarity: float | None = None, rows: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id[, at, keep]) for every row of ``docs`` (doc_id, text).
 
     Fingerprints that differ in at most ``max_bits`` bits are linked, over any number of steps; component_id is the
     smallest doc_id reachable.  With ``similarity`` texts are linked whose word shingles have that Jaccard similarity or
     more; equal and close fingerprints then only propose pairs.  Null and wordless texts have fingerprint 0 and are
     linked like any other.  Rows that repeat a doc_id are each returned.  A null doc_id takes part; a component of null ids only has a null id.  An empty table gives an
-    empty one.
+    empty one.  With ``rows`` (and ``similarity``) at is the row's place as in ``placed``, and keep that of the row that
+    stands for its component: the smallest doc_id's, null ids last.
     """
     stage = Staged(spark)
     fps = stage.save(fingerprints(docs, shingle, similarity is not None), "fp")
@@ -479,13 +475,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_
     if similarity is not None:
         found = similar_links(spark, docs, classes, stage.save(found, "close"), shingle, similarity, stage)
     roots = components(spark, stage.save(found, "link"))
-    named = classes.join(roots.withColumnRenamed("node", key), key, "left").select(key, "first_id", F.coalesce("root", key).alias("root"))
+    at = F.lit(None).cast("long") if similarity is None else F.col("at")
+    named = classes.join(roots.withColumnRenamed("node", key), key, "left").select(key, "first_id", at.alias("at"), F.coalesce("root", key).alias("root"))
     named = stage.save(named, "root")
     # staged, so that both sides of the join are exchanged and a component that holds many nodes can be split
-    least = stage.save(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    ids = stage.save(named.join(least, "root").select(key, "component_id"), "id")
+    first = F.min(F.struct(F.coalesce("first_id", F.lit((1 << 63) - 1)), "first_id", "at"))
+    least = stage.save(named.groupBy("root").agg(F.min("first_id").alias("component_id"), first["at"].alias("keep")), "least")
+    ids = stage.save(named.join(least, "root").select(key, "component_id", "keep"), "id")
     stage.drop("class", "close", "link", "root", "least", "posted", "loose", "groups", "members", "sets")
-    return fps.join(ids, key).select("doc_id", "fp", "component_id")
+    return fps.join(ids, key).select("doc_id", "fp", "component_id", *["at", "keep"] * rows)
 
 
 def as_hex(fp) -> F.Column:

@@ -66,3 +66,18 @@ def test_odd_rows(spark):
     empty = spark.createDataFrame([], schema)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, empty, SF).collect() == []
+
+
+def test_null_and_repeated_ids_keep_their_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for _, f in corpus_pipeline.STAGES[:3]:
+        kept = spark.createDataFrame(f(spark, kept, SF).collect(), docs.schema)
+    good = sorted(kept.collect(), key=lambda r: r.doc_id)[:6]
+    dirty = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, *good[0][1:]), (None, *good[1][1:]), (7, *good[2][1:]), (7, *good[3][1:]), (7, *good[3][1:]), (8, *good[4][1:]), (8, good[5].text + " " + dirty, *good[5][2:]), (None, good[5].text + " x " + dirty, *good[5][2:]), (9, *good[3][1:])]
+    now = spark.createDataFrame(rows, docs.schema)
+    for _, f in corpus_pipeline.STAGES[:3]:
+        now = spark.createDataFrame(f(spark, now, SF).collect(), docs.schema)
+    assert sorted((r.doc_id or 0, r.text) for r in now.collect()) == sorted((r[0] or 0, r[1]) for r in (*rows[:4], rows[5]))
+    assert corpus_pipeline.STAGES[4][1](spark, corpus_pipeline.STAGES[3][1](spark, now, SF), SF).count() == 5
