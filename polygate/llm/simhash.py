@@ -15,7 +15,7 @@ A few bits of one sum over all shingles tell only copies with few edits: at a Ja
 fingerprints differ in about 10 bits, where no byte is sure to be shared.  With ``similarity`` the operator therefore
 also takes a fingerprint of 256 positional bytes, one for each class of shingles: the hash of the class's smallest
 shingle, which is the SimHash of that one.  Lists are keyed by six positions at once; within a list the tally of equal
-positional bytes estimates the Jaccard similarity (standard error 0.025 at 0.8).  Pairs three errors below it form loose
+positional bytes estimates the Jaccard similarity (standard error 0.025 at 0.8).  Pairs up to 4.5 errors below it form loose
 groups, and within those the whole shingle sets are compared, so what is linked has the similarity exactly.  Here texts
 collapse by a hash of the whole shingle set, never by fingerprint: one line that repeats often gives texts with little else
 in common equal fingerprints, which therefore only propose pairs (a list of their own).
@@ -89,7 +89,7 @@ def fingerprint(text: str | None, shingle: int = 4, also: Sketch | list[bytes] |
 class Sketch:
     """The positional bytes of one text: for each class of shingles a byte of the smallest hash, 0 for an empty class."""
 
-    CLASSES, WIDTH, BANDS = 256, 6, 24
+    CLASSES, WIDTH, BANDS = 256, 6, 42
 
     def __init__(self) -> None:
         self.least = np.full(self.CLASSES, np.iinfo(np.uint64).max, np.uint64)
@@ -352,7 +352,7 @@ def _similar(fp: np.ndarray, x: np.ndarray, least: float, sets: list[np.ndarray]
 
     def near(i: int) -> np.ndarray:
         both = ((x[:i] == x[i]) & some[i]).sum(1)
-        close = np.flatnonzero(both >= least * (some[:i] | some[i]).sum(1))
+        close = np.flatnonzero(both + 1 >= least * (some[:i] | some[i]).sum(1))  # one more, as few shingles may share a class
         return close[np.argsort(-both[close], kind="stable")]
 
     yield _forest(fp, near, None if sets is None else lambda i, j: _jaccard(sets[i], sets[j]) >= similarity)
@@ -435,20 +435,35 @@ def _proposed(classes: DataFrame, close: DataFrame) -> DataFrame:
 def similar_links(spark: SparkSession, docs: DataFrame, classes: DataFrame, close: DataFrame, shingle: int, similarity: float, stage: Staged) -> DataFrame:
     """(a, b): links between nodes of texts whose shingles have the Jaccard similarity or more.
 
-    Sketches and ``close`` (links between fingerprints) pick loose groups first: three standard errors below the similarity.  Within a group the
-    shingle sets decide.  A group of over ``_GROUP`` texts goes by its lists instead, so no task gets all of it.
+    Sketches and ``close`` (links between fingerprints) pick loose groups first: 4.5 standard errors below the similarity.  Within a group the
+    shingle sets decide.  A group of over ``_GROUP`` texts goes by its lists and by the links that proposed it instead, so no
+    task gets all of it.
     """
-    least = similarity - 3 * (similarity * (1 - similarity) / Sketch.CLASSES) ** 0.5
+    least = similarity - 4.5 * (similarity * (1 - similarity) / Sketch.CLASSES) ** 0.5
     posted = stage.save(_posted(classes), "posted")
     lists = posted.join(classes.select("node", "sketch"), "node")
-    loose = stage.save(_proposed(classes, close).unionByName(_judged(lists, ["band", "key"], least, 0.0)), "loose")
+    proposed = stage.save(_proposed(classes, close), "proposed")
+    loose = stage.save(proposed.unionByName(_judged(lists, ["band", "key"], least, 0.0)), "loose")
     groups = stage.save(components(spark, loose), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     members = classes.join(groups, "node").join(sizes, "root").select("root", "n", "node", "at", "sketch")
     members = stage.save(_sets(stage.save(members, "members"), docs, shingle), "sets")
     small = _judged(members.where(F.col("n") <= _GROUP), ["root"], least, similarity)
-    large = posted.join(members.where(F.col("n") > _GROUP).select("node", "sketch", "set"), "node")
-    return small.unionByName(_judged(large, ["band", "key"], least, similarity))
+    large = members.where(F.col("n") > _GROUP).select("node", "sketch", "set")
+    found = small.unionByName(_judged(posted.join(large, "node"), ["band", "key"], least, similarity))
+    return found.unionByName(_confirmed(proposed, large, similarity))
+
+
+def _confirmed(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Those of the links (a, b) between ``members`` (node, set) that have the similarity."""
+    left, right = (members.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = zip(*([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("a_set", "b_set")))
+        keep = pa.array([_jaccard(x, y) >= similarity for x, y in sets], pa.bool_())
+        return batch.select(["a", "b"]).filter(keep)
+
+    return map_batches(pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set"), run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_bits: int = 4, similarity: float | None = None, rows: bool = False) -> DataFrame:
@@ -482,7 +497,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, max_
     first = F.min(F.struct(F.coalesce("first_id", F.lit((1 << 63) - 1)), "first_id", "at"))
     least = stage.save(named.groupBy("root").agg(F.min("first_id").alias("component_id"), first["at"].alias("keep")), "least")
     ids = stage.save(named.join(least, "root").select(key, "component_id", "keep"), "id")
-    stage.drop("class", "close", "link", "root", "least", "posted", "loose", "groups", "members", "sets")
+    stage.drop("class", "close", "link", "root", "least", "posted", "proposed", "loose", "groups", "members", "sets")
     return fps.join(ids, key).select("doc_id", "fp", "component_id", *["at", "keep"] * rows)
 
 

@@ -204,3 +204,31 @@ def test_equal_fingerprints_only_propose(spark):
     rows = [(i, t, None, "clash") for i, t in enumerate(texts)]
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 5, 4, 0.8).collect()}
     assert got == {i: i // 2 * 2 for i in range(12)}
+
+
+def test_bands_and_bound_lose_no_pair_at_the_bound():
+    rng = np.random.default_rng(2)
+    for union, trials in ((5, 4000), (10, 3000), (100, 2000), (5000, 300)):
+        least, lost = 0.8 - 4.5 * (0.16 / simhash.Sketch.CLASSES) ** 0.5, 0
+        for _ in range(trials):
+            both = [d.tobytes() for d in rng.integers(0, 1 << 63, union, dtype=np.uint64)]
+            a, b = simhash.Sketch(), simhash.Sketch()
+            a.add(both[: union * 9 // 10] if union > 5 else both)
+            b.add(both[: union * 8 // 10] + both[union * 9 // 10 :] if union > 5 else both[:4])
+            x, y = a.bytes(), b.bytes()
+            close = ((x == y) & (x > 0)).sum() + 1 >= least * ((x > 0) | (y > 0)).sum()
+            lost += not (close and (a.keys() == b.keys()).any())
+        assert lost <= trials // 1500, (union, lost)
+
+
+def test_large_groups_keep_links_of_the_bits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_GROUP", 1)
+    monkeypatch.setattr(simhash.Sketch, "keys", lambda self: np.empty(0, np.int64))  # so that only the bits propose
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(2000)]
+    made = (" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(1000))
+    away = lambda t: (simhash.fingerprint(t, 5) ^ simhash.fingerprint(" ".join(base), 5)).bit_count()
+    texts = [" ".join(base), next(t for t in made if 0 < away(t) <= 4)]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    got = simhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), 5, 4, 0.8).collect()
+    assert {r.component_id for r in got} == {0}
