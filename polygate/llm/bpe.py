@@ -3,8 +3,8 @@
 The words of the corpus are counted (all texts, partial sums first); frequent ones are merged once on the driver and
 compiled into a minimal acyclic automaton whose states share suffixes.  Each transition carries the number of words
 that sort before it, so a walk sums up to the word's rank, and the rank leads to its ids: an id-output transducer
-without outputs on the arcs, which would spoil the sharing.  Its flat arrays are sent to the executors as one file and
-memory-mapped, so the workers of a machine share its pages.  Words outside it are merged exactly.
+without outputs on the arcs, which would spoil the sharing.  Its flat arrays go to the shared folder as one file, which
+executors fetch and memory-map, so the workers of a machine share its pages.  Words outside it are merged exactly.
 
 Results equal the tokenizers library's for byte-level BPE files with word ends.  Texts up to U+024F are normalised and
 split here; others go through the file's own normaliser and splitter, so Unicode versions can't differ.
@@ -16,7 +16,6 @@ import heapq
 import json
 import os
 import re
-import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polygate.llm.common import documents, map_arrow, map_batches
+from polygate.llm.common import Staged, documents, map_arrow, map_batches, publish
 
 #: The lexicon's words at most: a bound on what is compiled on the driver, not on what is encoded.
 LEXICON = 150_000
@@ -224,11 +223,15 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
+#: What the characters below U+0250 can be lower-cased to, themselves included; some have a lower case above U+024F.
+_REACH = sorted({c for i in range(0x250) for c in chr(i) + chr(i).lower()})
+
+
 def _class(test) -> str:
-    return "".join(re.escape(chr(c)) for c in (*range(0x250), 0x307, 0x2C65, 0x2C66) if test(unicodedata.category(chr(c))[0]))
+    return "".join(re.escape(c) for c in _REACH if test(unicodedata.category(c)[0]))
 
 
-_SIMPLE = re.compile("[\x00-\x1b -ɏ]*")  # what follows is stable in all Unicode versions; \x1c-\x1f are spaces for some
+_SIMPLE = re.compile("[\x00-\x1b -\u024f]*")  # what follows is stable in all Unicode versions; \x1c-\x1f are spaces for some
 _LETTER, _NUMBER = _class(lambda c: c == "L"), _class(lambda c: c == "N")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\t-\\r \x85\xa0{_LETTER}{_NUMBER}]+")
 
@@ -306,8 +309,8 @@ class Transducer:
 
     _FIELDS = ("classes", "step", "skip", "final", "starts", "ids")
 
-    def save(self, path: str) -> None:
-        """One file: a header of shapes and kinds, then the arrays, each at a multiple of 64 bytes."""
+    def packed(self) -> bytes:
+        """One file's bytes: a header of shapes and kinds, then the arrays, each at a multiple of 64 bytes."""
         head, blobs, at = [], [], 0
         for f in self._FIELDS:
             a = np.ascontiguousarray(getattr(self, f))
@@ -316,12 +319,11 @@ class Transducer:
             at += -(-a.nbytes // 64) * 64
         text = json.dumps(head).encode()
         base = -(-(8 + len(text)) // 64) * 64
-        with open(path, "wb") as out:
-            out.write(len(text).to_bytes(8, "little") + text)
-            for at, a in blobs:
-                out.seek(base + at)
-                out.write(a.tobytes())
-            out.truncate(max(base + at + blobs[-1][1].nbytes, base + 1))
+        out = bytearray(max(base + blobs[-1][0] + blobs[-1][1].nbytes, base + 1))
+        out[: 8 + len(text)] = len(text).to_bytes(8, "little") + text
+        for at, a in blobs:
+            out[base + at : base + at + a.nbytes] = a.tobytes()
+        return bytes(out)
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -509,24 +511,23 @@ def compile_lexicon(spark: SparkSession, docs: DataFrame, content: str, most: in
     words fit, so the driver never sees more.
     """
     bucket = F.floor(F.log2("n") * 8).cast("int")
-    counts = word_counts(docs, content).withColumn("bucket", bucket).where("length(word) <= 64").persist()
-    try:
-        least, room = 1 << 30, most
-        for b, n in sorted(((r.bucket, r["count"]) for r in counts.groupBy("bucket").count().collect()), reverse=True):
-            room -= n
-            if room < 0 or b <= 0:  # words that occur once gain nothing
-                break
-            least = b
-        words = [r.word for r in counts.where(F.col("bucket") >= least).select("word").collect()]
-    finally:
-        counts.unpersist()
+    stage = Staged(spark)
+    counts = stage.save(word_counts(docs, content).where("length(word) <= 64 and n > 1").withColumn("bucket", bucket), "words")  # words that occur once gain nothing
+    least, room = 1 << 30, most
+    for b, n in sorted(((r.bucket, r["count"]) for r in counts.groupBy("bucket").count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = b
+    words = [r.word for r in counts.where(F.col("bucket") >= least).select("word").collect()]
+    stage.drop("words")
     vocabulary = vocabulary_of(content)
     raw = [w.encode() for w in words if w]
     lengths, ids = vocabulary.merge_many(raw)
-    path = os.path.join(tempfile.mkdtemp(prefix="polygate-"), f"lexicon-{os.urandom(6).hex()}.bin")
-    Transducer.build(zip(raw, (x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])))).save(path)
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    name = f"lexicon-{os.urandom(6).hex()}.bin"
+    built = Transducer.build(zip(raw, (x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1]))))
+    spark.sparkContext.addFile(publish(spark, name, built.packed()))
+    return name
 
 
 _encoders: dict[tuple[int, str | None], Encoder] = {}

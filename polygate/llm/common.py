@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,27 +31,72 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop's file system and path object for a path of the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+_tops: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/polygate-{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the application's part of the shared folder, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _tops:
+        top = f"{shared_dir(spark)}/polygate-{app}-{uuid.uuid4().hex[:6]}"
+        files, p = _hadoop(spark, top)
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+        _tops[app] = top
+    return f"{_tops[app]}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    files, p = _hadoop(spark, path)
+    files.delete(p, True)
+
+
+def publish(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes one file below a fresh path of the shared folder, through Hadoop's file system; returns its path."""
+    path = f"{scratch(spark, 'file')}/{name}"
+    files, p = _hadoop(spark, path)
+    out = files.create(p)
+    for at in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[at : at + (1 << 20)]))
+    out.close()
+    return path
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, an action's shuffle files go when the action ends: for what is written and read back from there."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    if before is None:  # a Spark without it keeps them until its own cleaner comes
+        yield
+        return
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class Staged:
-    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a rerun."""
+    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a rerun.
+
+    Those that a lazy result still reads stay until the application ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, {}
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch(self.spark, label)
-        df.write.parquet(path)
+        with tidy(self.spark):
+            df.write.parquet(path)
         self.paths[label] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -69,14 +116,14 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="polygate-"), "polygate.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(top):
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
+    spark.sparkContext.addPyFile(publish(spark, "polygate.zip", data.getvalue()))
     _shipped.add(app)
 
 

@@ -38,6 +38,16 @@ def test_ids_and_decoding_equal_the_library(content):
             assert vocabulary.decode(g) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_the_library(content):
+    """Alone, between letters and beside capitals; then random strings of the range that is split here."""
+    lib, enc, rng = Tokenizer.from_str(content), bpe.Encoder(bpe.Vocabulary(content)), random.Random(11)
+    points = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    near = ["".join(chr(rng.randrange(0x250)) for _ in range(rng.randrange(1, 24))) for _ in range(100_000)]
+    for some in (points, [f"a{c}b" for c in points], [f"A{c}{c}'s{c} {c}9" for c in points], near):
+        for t, g, w in zip(some, enc.batch(some), lib.encode_batch(some, add_special_tokens=False), strict=True):
+            assert g.tolist() == w.ids, ascii(t)
+
+
 def test_long_words_merge_alike(content):
     v, rng = bpe.Vocabulary(content), random.Random(1)
     for _ in range(60):
@@ -60,7 +70,7 @@ def test_transducer_shares_suffixes_and_maps(tmp_path):
     stems = ["".join(rng.choices("abcdé", k=rng.randrange(1, 7))) for _ in range(300)]
     words = {(s + e).encode(): [len(s), hash(e) % 99] for s in stems for e in ("", "s", "ing", "ingly", "tion")}
     built = bpe.Transducer.build(words.items())
-    built.save(str(tmp_path / "x.bin"))
+    (tmp_path / "x.bin").write_bytes(built.packed())
     for t in (built, bpe.Transducer.load(str(tmp_path / "x.bin"))):
         asked = [*words, b"", b"zzz", b"abq", b"x" * 100]
         ranks = t.ranks(asked).tolist()
@@ -68,13 +78,13 @@ def test_transducer_shares_suffixes_and_maps(tmp_path):
         assert [t.outputs(r) for r in ranks[: len(words)]] == list(words.values())
     assert len(built.final) < sum(len(w) for w in words) / 3
     empty = bpe.Transducer.build([])
-    empty.save(str(tmp_path / "e.bin"))
+    (tmp_path / "e.bin").write_bytes(empty.packed())
     assert bpe.Transducer.load(str(tmp_path / "e.bin")).ranks([b"a", b""]).tolist() == [-1, -1]
 
 
 def test_tables(spark, content):
     lib = Tokenizer.from_str(content)
-    some = texts()[:200]
+    some = [*texts()[:200], "Əliyev ƁAƊƗ Ɛwe ƆKAN" * 3, "word Ɓ " * 120_000]
     rows = [(i, t, "x", "y") for i, t in enumerate(some)] + [(None, "a b", None, None), (3, "again", None, None)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     want = sorted((i if i is not None else -1, np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()) for i, t, _, _ in rows)
@@ -95,7 +105,8 @@ def test_flat_files(spark, content):
     import zlib
 
     lib = Tokenizer.from_str(content)
-    some = texts()[:150]
+    odd = ["Əliyev ƁAƊƗ Ɛwe ƆKAN" * 3, "ȺȾ" * 9, "word Ɓ " * 120_000]  # capitals with far lower cases; a very long text
+    some = [*texts()[:150], *odd]
     rows = [(1000 - i, t, "x", "y") for i, t in enumerate(some)] + [(None, "a b", None, None), (990, "again", None, None)]
     got = token_files.write_and_read(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), PATH).collect()
     assert len(got) == len(rows)
