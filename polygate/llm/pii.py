@@ -4,7 +4,8 @@ Regular expressions propose spans, checks confirm them (Luhn for card numbers, m
 counts for addresses and phones), and context words just before a span raise or lower its score.
 
 Spans are found where Spark has no function that returns match positions: ``split`` on the pattern gives the text
-between matches and ``regexp_extract_all`` the matches, so running lengths are the positions, in code points.  The
+between matches and ``regexp_extract_all`` the matches, so running lengths are the positions, in code points; folds of
+a fixed length sum them up and carry the last code points, where context words stand.  The
 patterns are possessive and start only where a run starts (or where the last match ended), which accepts the same
 matches as the plain patterns, yet takes linear time and no stack on very long runs.
 """
@@ -66,22 +67,45 @@ KINDS = (*BASE, IBAN)
 CONTEXT = 40
 
 
+#: Matches that one fold takes.  A fold copies the spans that it has found so far at each step, so its length is fixed:
+#: the time is linear in the matches, and the folds are joined at the end.
+FOLD = 128
+
+
 def _spans(text: Column, hits: Column, kind: Kind) -> Column:
     """The confirmed spans of one kind: array of struct(start, end, score), in order of start."""
-    none = F.array().cast("array<struct<start:int,end:int,score:double>>")
+    span = "array<struct<start:int,end:int,score:double>>"
+    none = F.array().cast(span)
+
+    def state(pos: Column, tail: Column, out: Column) -> Column:
+        """What a fold carries: where it stands in the text, the last code points before that, and what it has found."""
+        return F.struct(pos.alias("pos"), tail.alias("tail"), out.alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
         start = acc["pos"] + F.length(e["gap"])
         end = start + F.length(e["hit"])
-        before = F.lower(text.substr(F.greatest(start - CONTEXT + 1, F.lit(1)), F.least(start, F.lit(CONTEXT))))
-        score = kind.score + F.when(before.rlike(kind.context), 0.1).otherwise(0.0) - F.when(before.rlike(kind.against), 0.3).otherwise(0.0)
-        span = F.struct(start.alias("start"), end.alias("end"), F.round(score, 2).alias("score"))
+        before = F.right(F.concat(acc["tail"], e["gap"]), F.lit(CONTEXT))
+        low = F.lower(before)
+        score = kind.score + F.when(low.rlike(kind.context), 0.1).otherwise(0.0) - F.when(low.rlike(kind.against), 0.3).otherwise(0.0)
         keep = e["hit"].isNotNull() & kind.valid(e["hit"])
-        return F.struct(F.coalesce(end, start).alias("pos"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        found = F.array(F.struct(start.alias("start"), end.alias("end"), F.round(score, 2).alias("score")))
+        tail = F.right(F.concat(before, F.coalesce(e["hit"], F.lit(""))), F.lit(CONTEXT))
+        return state(F.coalesce(end, start), tail, F.when(keep, F.concat(acc["out"], found)).otherwise(acc["out"]))
+
+    def fold(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, state(acc["pos"], acc["tail"], none), step)
+        # one element, so that the inner fold is evaluated once for its three fields
+        return F.element_at(F.transform(F.array(inner), lambda x: state(x["pos"], x["tail"], F.concat(acc["out"], F.array(x["out"])))), 1)
 
     walk = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), hits.alias("hit"))
     walk = F.transform(walk, lambda e: F.struct(e["gap"].alias("gap"), e["hit"].alias("hit")))
-    found = F.aggregate(walk, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda acc: acc["out"])
+    first = state(F.lit(0), F.lit(""), F.array().cast(f"array<{span}>"))
+
+    def folds(w: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / FOLD).cast("int")), lambda i: F.slice(w, i * FOLD + 1, FOLD))
+        return F.aggregate(parts, first, fold, lambda acc: F.flatten(acc["out"]))
+
+    found = F.element_at(F.transform(F.array(walk), folds), 1)  # bound as a variable, so that the text is split once
     return F.when(F.size(hits) > 0, found).otherwise(none)
 
 
@@ -89,7 +113,8 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """(doc_id, text, email, ip, ...): for each kind an array of struct(start, end, score), ends exclusive.
 
     One row for each row of ``docs``, in place: no shuffle.  A null text counts as empty and has no spans; null and
-    repeated ids are kept; other columns are left out, so their names never clash.
+    repeated ids are kept; other columns are left out, so their names never clash.  Very long texts take time linear in
+    their length and in the number of matches.  An empty table gives an empty one.
     """
     rows = documents(docs).withColumn("text", F.coalesce("text", F.lit("")))
     nothing = F.array().cast("array<string>")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from polygate.llm import pii
 
@@ -37,7 +38,7 @@ def texts():
     bits = ["a@b.co", "x_y@z.w-v.org", "@", "a@b", "..@c.d", "1.2.3.4", "256.1.1.1", "001.02.3.255", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111111", "6011000990139424",
             "+49 (30) 1234-567", "+1", "+123456789012345678", "é", "日本", "😀", "\n", " ", ".", "-", "_", "9", "call", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89370400440532013001", "m@n.o_p@q.r"]
     out = ["".join(rng.choices([*bits, " ", " "], k=rng.randrange(1, 14))) for _ in range(300)]
-    return [*out, "", None, "a" * 50_000, "9" * 50_000, "a@" + "b." * 20_000 + "c", "1." * 30_000, "+1" + "(" * 40_000, "a@b.c " * 800, *bits]
+    return [*out, "", None, "a" * 50_000, "9" * 50_000, "a@" + "b." * 20_000 + "c", "1." * 30_000, "+1" + "(" * 40_000, "a@b.c " * 800, "ann@b.org, 10.0.0.1; 4111 1111 1111 1111 tel. +49 30 1234567 " * 3000, "1.2.3.4 " * 129, *bits]
 
 
 def test_base_spans_match_plain_patterns(spark):
@@ -52,6 +53,27 @@ def test_base_spans_match_plain_patterns(spark):
         assert got[i].spans.startswith(said)
 
 
+def test_time_is_linear_in_the_matches(spark):
+    def took(n):
+        df = spark.createDataFrame([(1, "mail ann.b@example.org or 10.1.2.3; " * n, None, None)], SCHEMA)
+        began = time.monotonic()
+        assert pii.digest(pii.find(df)).first().n_email == n
+        return time.monotonic() - began
+
+    took(5_000)
+    assert took(40_000) < 4 * took(20_000) + 1  # the square would be more by far from here on
+    assert "Python" not in pii.digest(pii.find(spark.createDataFrame([], SCHEMA)))._jdf.queryExecution().toString()
+
+
+def test_context_reaches_back_over_matches(spark):
+    rows = [(1, "write: a@b.co c@d.co " + "e@f.co " * 300 + "write g@h.co", None, None)]
+    scores = pii.digest(pii.find(spark.createDataFrame(rows, SCHEMA))).first().scores.split(",")
+    # the word stands within 40 code points of the first five addresses and of the last
+    text = rows[0][1]
+    want = ["1.0" if "write" in text[max(0, m.start() - pii.CONTEXT) : m.start()] else "0.9" for m in re.finditer(PATTERNS["email"], text)]
+    assert scores == want and want.count("1.0") > 2
+
+
 def test_added_kind_scores_and_empty(spark):
     rows = [(1, "my iban: GB82 WEST 1234 5698 7654 32.", None, None), (None, "DE89370400440532013001", None, None), (3, "order 4111 1111 1111 1111", None, None), (3, "visa 4111 1111 1111 1111", None, None)]
     got = [tuple(r)[-2:] for r in pii.digest(pii.find(spark.createDataFrame(rows, SCHEMA))).collect()]
