@@ -1,26 +1,31 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
-Prefix doubling ranks every position by its first bytes, then by longer and longer pieces, until a rank is unique or
-the length passes the threshold L (100 bytes).  Over every byte it would shuffle some thirty bytes for each byte of
-text in each round.  So the first rounds rank a synchronising set of positions, as in sparse suffix sorting: of each
-window of L bytes the substring of ``L // 4`` bytes with the smallest hash marks its position, about one in 38.  Equal
-windows mark the same place, so whatever repeats over L bytes holds an equally ranked pair.  Windows in a row with the
-same mark form a *run*.
-
-* Round 1 sorts (rank, position) pairs at L/4 bytes.  A unique rank drops out: none of its run's windows repeats.
-  Where ranks tie, all bytes of the run are compared: of equal runs all but the first are repeats in full.
-* Round 2 reranks what still ties, in pieces of L/10 windows, by the 9 L/10 bytes that a piece's windows share.
+The rank of a string of 2h bytes is made from the pair of ranks at a position and h bytes further on: from single bytes
+on, offsets double (1, 2, 4, ... 32), and a last pair that overlaps reaches any length, as 64 bytes at offsets 0 and 36
+reach 100.  A rank is a 64-bit name of its content, equal wherever the string stands, so the second rank of a pair is at
+hand where the first is: no round joins neighbours back in.  What needs the cluster is which ranks are unique.  Each
+round sorts (rank, content, document, position) rows by Spark, drops positions whose rank is unique, and reranks the
+others at a greater length until that reaches the threshold L (100 bytes).
+
+Ranks of a few bytes are hardly ever unique, and rows for every byte would move some thirty bytes for each byte of text
+and round.  So sorting begins at L/4 bytes, over a synchronising set of positions, as in sparse suffix sorting: of each
+window of L bytes the place with the smallest rank of L/4 bytes is marked, about one byte in 38.  Equal windows mark the
+same place, so whatever repeats over L bytes holds an equally ranked pair.  Windows in a row with the same mark form a
+*run*.
+
+* Round 1 sorts the marks' ranks at L/4 bytes.  A unique rank drops out: none of its run's windows repeats.  Where ranks
+  tie, the run's content is compared, the pair of ranks of its first and last window: of equal runs all but the first are
+  repeats in full.
+* Round 2 reranks what still ties, in pieces of L/10 windows, at the 9 L/10 bytes that a piece's windows share.
 * Round 3 reranks the rest window by window, at L bytes: the threshold.
 
-Ranks are hashes of content, equal wherever a string stands, so no round joins neighbours back in: each is one sort of
-(rank, content, document, position) rows, streamed through the partitions.  Before the shuffle a task keeps the first
-of its equal rows, so a passage that many documents share has at most a row for each task; a rank that ties very often
-within a task is passed on to the next round without the sort, and one row tells the others of it.
+Before the shuffle a task keeps the first of its equal rows, so a passage that many documents share has at most a row for
+each task; a rank that ties very often within a task is passed on to the next round without the sort, and one row tells
+the others of it.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -31,12 +36,13 @@ from pyspark.sql import functions as F
 
 from polygate.llm.common import Staged, map_arrow
 
+#: Bytes of text for each partition of a sort, and partitions at most: beyond, a sort spills.
+PART_BYTES, MOST_PARTS = 64 << 20, 50_000
 _BITS = 20
 _CHUNK = 1 << _BITS  # bytes of a document that are hashed at a time
 _FLUSH = 400_000  # rows that a task holds before it passes them on
 _OFTEN = 256  # different contents of a rank in one flush
 _U = np.uint64
-_MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _FOUND, _TIED, _RANKED, _OFTEN_TIED = 1, 2, 0, 3
 
 
@@ -46,40 +52,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Hashes:
-    """Powers and byte values for hashes of any substring from prefix sums modulo 2**64."""
+#: Names of single bytes and the multipliers of two families of ranks, independent of one another.
+_BYTES = [np.random.default_rng(20240607 + i).integers(0, 1 << 64, 256, dtype=_U) for i in range(2)]
+_PAIR = ((_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)), (_U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)))
 
-    def __init__(self) -> None:
-        rng = np.random.default_rng(20240607)
-        self.values = [rng.integers(0, 1 << 63, 256, dtype=_U) * _U(2) + _U(1) for _ in _MULT]
-        self.up, self.down = [], []
-        for m in _MULT:
-            for out, x in ((self.up, m), (self.down, pow(m, -1, 1 << 64))):
-                p = np.full(_CHUNK + (1 << 17), x, _U)
-                p[0] = 1
-                out.append(np.multiply.accumulate(p))
 
+def _pair(left: np.ndarray, right: np.ndarray, family: int = 0) -> np.ndarray:
+    """The rank of each pair of ranks."""
+    a, b = _PAIR[family]
+    out = left * a
+    out += right
+    out ^= out >> _U(32)
+    out *= b
+    out ^= out >> _U(29)
+    return out
 
-_shared: list[_Hashes] = []
 
+def ranks(data: np.ndarray, lengths: tuple[int, ...], family: int = 0) -> list[np.ndarray]:
+    """For each of the lengths, which ascend, the ranks of all strings of that length, by prefix doubling."""
+    rank, h, out = _BYTES[family][data], 1, []
+    for length in lengths:
+        while 2 * h <= length:
+            rank, h = _pair(rank[: max(0, len(rank) - h)], rank[h:], family), 2 * h
+        more = length - h  # a pair at this offset overlaps and reaches the length
+        out.append(_pair(rank[: max(0, len(rank) - more)], rank[more:], family) if more else rank)
+    return out
 
-class Rolling:
-    """Hashes of substrings of one chunk, each in constant time."""
 
-    def __init__(self, data: np.ndarray, which: int) -> None:
-        if not _shared:
-            _shared.append(_Hashes())
-        h = _shared[0]
-        self.down = h.down[which]
-        self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(h.values[which][data] * h.up[which][: len(data)], out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(_U))
-
-    def windows(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
-        return _mix((self.sums[length:] - self.sums[:n]) * self.down[:n] + _U(length))
+def _content(rank: np.ndarray, first: np.ndarray, last: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The rank of what windows first..last cover, from the pair of its ends, and of where the mark stands in it."""
+    return _pair(rank[first], rank[last]) ^ _mix((mark - first).astype(_U) << _U(20) | (last - first).astype(_U))
 
 
 def marks(order: np.ndarray, w: int) -> np.ndarray:
@@ -108,13 +110,12 @@ def runs(data: np.ndarray, length: int, spans: np.ndarray | None) -> Iterator[Ro
     """Round 1: the runs of a document.  A run is cut where a chunk ends; it then ties and later rounds settle it."""
     k = length // 4
     for a, b in _parts(len(data), length):
-        one = Rolling(data[a:b], 0)
-        order = one.windows(k)
+        order, whole = ranks(data[a:b], (k, length))
         at = marks(order, length - k + 1)
         first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
         last = np.append(first[1:], len(at)) - 1
         mark = at[first]
-        yield order[mark], one.of(first, last + length) ^ _mix((mark - first).astype(_U)), first + a, last + a, mark + a
+        yield order[mark], _content(whole, first, last, mark), first + a, last + a, mark + a
 
 
 def _within(data: np.ndarray, length: int, spans: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -133,7 +134,7 @@ def pieces(data: np.ndarray, length: int, spans: np.ndarray) -> Iterator[Rows]:
     """Round 2: unresolved runs in pieces whose windows stand alike to the mark."""
     c = max(1, length // 10)
     for a, part, mine in _within(data, length, spans):
-        one = Rolling(part, 0)
+        shared, whole = ranks(part, (length - c + 1, length))
         first, last, mark = (mine - a).T
         lo, hi = (mark - last) // c, (mark - first) // c  # classes of mark - window
         n = hi - lo + 1
@@ -141,8 +142,7 @@ def pieces(data: np.ndarray, length: int, spans: np.ndarray) -> Iterator[Rows]:
         j = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + lo[run]
         nearest, farthest = mark[run] - j * c, mark[run] - (j + 1) * c + 1  # windows of the whole class
         f, e = np.maximum(farthest, first[run]), np.minimum(nearest, last[run])
-        key = one.of(nearest, farthest + length) ^ _mix(j.astype(_U))
-        yield key, one.of(f, e + length) ^ _mix((mark[run] - f).astype(_U)), f + a, e + a, mark[run] + a
+        yield shared[nearest] ^ _mix(j.astype(_U)), _content(whole, f, e, mark[run]), f + a, e + a, mark[run] + a
 
 
 def windows(data: np.ndarray, length: int, spans: np.ndarray) -> Iterator[Rows]:
@@ -150,7 +150,7 @@ def windows(data: np.ndarray, length: int, spans: np.ndarray) -> Iterator[Rows]:
     for a, part, mine in _within(data, length, spans):
         n = mine[:, 1] - mine[:, 0] + 1
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(mine[:, 0], n) - a
-        yield Rolling(part, 0).of(at, at + length), Rolling(part, 1).of(at, at + length), at + a, at + a, at + a
+        yield ranks(part, (length,))[0][at], ranks(part, (length,), 1)[0][at], at + a, at + a, at + a
 
 
 ROUNDS = (runs, pieces, windows)
@@ -184,7 +184,7 @@ def _flush(rows: list[np.ndarray]) -> pa.RecordBatch:
     tell = np.flatnonzero(often & new_key)
     # rows that are settled, or wait for the next round, go anywhere
     away = kind != _RANKED
-    spread = _mix(doc[away].view(_U) * _U(_MULT[0]) + first[away].astype(_U))
+    spread = _mix(doc[away].view(_U) * _PAIR[0][0] + first[away].astype(_U))
     told = [x[tell] for x in (key, full, doc, first, last, mark)]
     key[away] = spread
     cols = [np.concatenate([a, b]) for a, b in zip((kind, key, full, doc, first, last, mark), (np.full(len(tell), _OFTEN_TIED), *told), strict=True)]
@@ -302,14 +302,6 @@ def _cut(length: int, keep_bytes: bool):
     return run
 
 
-def _free() -> None:
-    """Lets Spark drop the shuffle files of steps that nothing refers to any more."""
-    gc.collect()
-    session = SparkSession.getActiveSession()
-    if session is not None:
-        session.sparkContext._jvm.System.gc()
-
-
 def _numbered(docs: DataFrame, stage: Staged) -> DataFrame:
     """(doc, doc_id, text): doc orders the rows; it is doc_id unless ids are null or repeat."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -333,13 +325,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 100, keep
         raise ValueError("length must be 8 to 65536")
     stage = Staged(spark)
     rows = _numbered(docs, stage)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, total // PART_BYTES))
     long_enough = rows.where(F.octet_length("text") >= length).select("doc", "text")
     todo, found = long_enough, None
     for n, round_ in enumerate(ROUNDS):
-        ranked = map_arrow(todo, _emit(round_, length), _ROW).repartition("key").sortWithinPartitions("key", "full", "doc", "first")
+        ranked = map_arrow(todo, _emit(round_, length), _ROW).repartition(parts, "key").sortWithinPartitions("key", "full", "doc", "first")
         settled = stage.save(map_arrow(ranked, _resolve(round_ is windows), "state byte, doc long, first int, last int, mark int"), f"round{n}")
-        del ranked
-        _free()
         more = settled.where(F.col("state") == _FOUND).select("doc", "first", "last")
         found = more if found is None else found.unionByName(more)
         if round_ is not windows:

@@ -69,6 +69,20 @@ def test_null_ids_repeats_and_empty(spark):
     assert suffix_dedup.remove_repeats(spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("family", [0, 1])
+def test_ranks_name_contents(family):
+    rng = random.Random(family)
+    data = np.frombuffer("".join(rng.choices("ab", k=600)).encode(), np.uint8)
+    lengths = (1, 2, 3, 7, 8, 25, 91, 100, 128)
+    for n, rank in zip(lengths, suffix_dedup.ranks(data, lengths, family), strict=True):
+        assert len(rank) == len(data) - n + 1
+        content = [data[i : i + n].tobytes() for i in range(len(rank))]
+        names = {}
+        assert all(names.setdefault(c, r) == r for c, r in zip(content, rank.tolist())) and len(set(names.values())) == len(names)
+    at4, at8 = suffix_dedup.ranks(data, (4, 8), family)
+    assert (suffix_dedup._pair(at4[:-4], at4[4:], family) == at8).all()  # a rank is made from two shorter ones
+
+
 def test_rounds_by_hand(monkeypatch):
     """All rounds in one process, with small chunks and ranks that tie often."""
     monkeypatch.setattr(suffix_dedup, "_OFTEN", 2)
