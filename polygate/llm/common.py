@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,3 +153,30 @@ def placed(docs: DataFrame) -> DataFrame:
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the text operators need, so that others, whatever their names, never clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+_U = np.uint64
+#: Multipliers of two families of ranks, independent of one another.
+_PAIR = ((_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)), (_U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)))
+
+
+def pair(left: np.ndarray, right: np.ndarray, family: int = 0) -> np.ndarray:
+    """The rank (a 64-bit name) of each pair of ranks."""
+    a, b = _PAIR[family]
+    out = left * a
+    out += right
+    out ^= out >> _U(32)
+    out *= b
+    out ^= out >> _U(29)
+    return out
+
+
+def doubled(rank: np.ndarray, lengths: tuple[int, ...], family: int = 0) -> list[np.ndarray]:
+    """For each of the lengths, which ascend, the ranks of all stretches of that length, by prefix doubling."""
+    h, out = 1, []
+    for length in lengths:
+        while 2 * h <= length:
+            rank, h = pair(rank[: max(0, len(rank) - h)], rank[h:], family), 2 * h
+        more = length - h  # a pair at this offset overlaps and reaches the length
+        out.append(pair(rank[: max(0, len(rank) - more)], rank[more:], family) if more else rank)
+    return out

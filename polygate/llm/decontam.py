@@ -1,47 +1,48 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes words; numbers, names (capitalised inside a sentence) and units turn into typed placeholders, the rest
-goes to lower case.  Windows of ``WINDOW`` canonical words are hashed, those of benchmark items into a sorted table, and
-a document's windows look it up.  A hit on a template with slots counts only if the slots are consistent: along one
-alignment of item and document each slot value of the item stands for one value of the document.  Windows of plain
-lower-case words are a second key, so that a passage in capitals is found as well.  A third takes capitalised words that
-open a sentence for slots too, as they may be names.
-
-An item is reported for a document if hits on one alignment cover at least ``min(RUN, half)`` of its words.  Windows
-mostly of slots say too little for that: they only propose an alignment, on which then the whole item must agree, literals
-and kinds of slots, with consistent slots.  An item of fewer than ``LEAST`` words is looked for as a whole, word for word.
-
-The benchmark's table is sent to executors only within ``TABLE_BYTES``; a larger benchmark is taken in slices of that
-size, each one pass over the documents.  Documents are never shuffled.
+goes to lower case.  Windows of ``WINDOW`` canonical words are hashed.  Windows of plain lower-case words are a second key,
+so that a passage in capitals is found as well.  A third takes capitalised words that open a sentence for slots too, as
+they may be names.
+
+Windows of documents and items are joined by hash; each pair of equal windows proposes an alignment of an item and a
+document, which is then judged word by word.  An item is reported if windows that agree on one alignment cover at least
+``min(RUN, half)`` of its words, with consistent slots: each slot value of the item stands for one value of the document.
+Windows mostly of slots say too little for that: where they agree the whole item must, literals and kinds of slots, with
+consistent slots.  An item of fewer than ``LEAST`` words is looked for as a whole, word for word.
+
+At scale.  A document is read once and gives rows only for windows that a bitmap of the benchmark's windows lets through
+(``FILTER_BITS`` at most, whatever the benchmark; what it lets through by chance falls out in the join); documents without any aren't
+moved.  Neither items nor windows are gathered in the driver.  A window that more than ``HOT`` items share isn't joined
+unless an item needs it: an item whose hot windows can't cover enough words shows up by another window or not at all.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polygate.llm.common import documents, map_arrow
+from polygate.llm.common import Staged, documents, doubled, map_arrow
 
 WINDOW = 8
 RUN = 13  # words on one alignment that always suffice
 LEAST = 4  # items of fewer words have no templates, and only match as a whole
-TABLE_BYTES = 64 << 20
+HOT = 64  # items that share a window which isn't joined without need
+FILTER_BITS = 1 << 27
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?]+")
 UNITS = frozenset("mm cm m km g kg mg t l ml s min h kmh mph hz w kw v a j n pa c f inch inches foot feet yard yards mile miles pound pounds ounce ounces gram grams kilogram kilograms meter meters metre metres kilometer kilometers liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split())
 _U = np.uint64
 _LITERAL, _NUMBER, _CAPITAL, _UNIT, _STOP = range(5)
-_MULT = _U(0x9E3779B97F4A7C15)
+_OPENS = 8  # added to the kind of a word that opens a sentence
 _SLOT = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x6A09E667F3BCC909, 0], _U)
-_FILTER, _TEXTS = 20, 64
-_PLAIN, _TEMPLATE, _OPEN = range(3)  # kinds of keys; windows of the last two that are mostly slots are known by place
-_RUN_SCHEMA = "doc_id long, item_id long, kind string, n_words int, covered int, first_word int"
+_SEEN, _TEXTS = 20, 64
+_PLAIN, _TEMPLATE, _OPEN = range(3)  # kinds of keys; windows of the last two that are mostly slots need the whole item
 
 
 class Words(dict):
@@ -74,11 +75,15 @@ class Words(dict):
 
 
 class Canon:
-    """A text's hashes by kind of key and which words are then slots; texts that follow one another share arrays."""
+    """Texts as hashes of plain words and kinds; by kind of key, hashes and which words are slots.  The texts share arrays."""
 
-    def __init__(self, hashes: list[np.ndarray], slots: list[np.ndarray], ends: np.ndarray) -> None:
-        self.hashes, self.slots, self.ends = hashes, slots, ends
-        self.plain = hashes[_PLAIN]
+    def __init__(self, plain: np.ndarray, kinds: np.ndarray, ends: np.ndarray) -> None:
+        self.plain, self.kinds, self.ends = plain, kinds, ends
+        kind, opens = kinds & 7, kinds == _CAPITAL | _OPENS
+        slot = kind != _LITERAL
+        canon = np.where(slot, _SLOT[kind], plain)
+        self.hashes = [plain, np.where(opens, plain, canon), canon]
+        self.slots = [np.zeros(len(slot), bool), slot & ~opens, slot]
 
     @classmethod
     def of(cls, texts: list[str | None], words: Words) -> Canon:
@@ -91,176 +96,230 @@ class Canon:
         starts = np.concatenate([[True], ~real[:-1]]) if len(kind) else np.empty(0, bool)
         ends = np.cumsum(sizes)
         starts[(ends - sizes)[sizes > 0]] = True
-        plain, kind, starts = hashes[codes[real]], kind[real], starts[real]
-        slot = kind != _LITERAL
-        canon = np.where(slot, _SLOT[kind], plain)
-        opens = (kind == _CAPITAL) & starts
-        keys, slots = [plain, np.where(opens, plain, canon), canon], [np.zeros(len(slot), bool), slot & ~opens, slot]
-        return cls(keys, slots, np.concatenate([[0], np.cumsum(real)])[ends])
+        return cls(hashes[codes[real]], kind[real] + _OPENS * starts[real].astype(np.int8), np.concatenate([[0], np.cumsum(real)])[ends])
+
+    def windows(self, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(kind of key, the key of each window of a width): keys of different widths and kinds never meet."""
+        for key in (_PLAIN, _TEMPLATE, _OPEN) if width >= LEAST else (_PLAIN,):
+            if not key or self.slots[key].any():
+                yield key, doubled(self.hashes[key], (width,))[0] + _U(width << 2 | key)
+
+    def telling(self, width: int, key: int) -> np.ndarray:
+        """Whether each window of a kind of key says more than in the kind before, and holds a word that isn't a slot."""
+        if not key:
+            return np.ones(max(0, len(self.plain) - width + 1), bool)
+        slots, fewer = (_sums(self.slots[k], width) for k in (key, key - 1))
+        return (slots > fewer) & (slots < width)
+
 
-    def text(self, i: int) -> Canon:
-        a, b = (int(self.ends[i - 1]) if i else 0), int(self.ends[i])
-        return Canon([x[a:b] for x in self.hashes], [x[a:b] for x in self.slots], np.array([b - a]))
+def _sums(x: np.ndarray, width: int) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(x)])
+    return total[width:] - total[:-width]
 
 
-def window_hashes(x: np.ndarray, width: int) -> np.ndarray:
-    n = len(x) - width + 1
-    if n <= 0:
-        return np.empty(0, _U)
-    out = np.zeros(n, _U)
-    for i in range(width):
-        out = (out ^ x[i : i + n]) * _MULT
-        out ^= out >> _U(29)
-    return out
+def _cover(windows: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n words some of the windows (a flag for each place) cover."""
+    change = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(windows)
+    change[at] += 1
+    change[at + width] -= 1  # places differ, so nothing is added twice
+    return np.cumsum(change[:-1]) > 0
 
 
-class Table:
-    """Windows of some benchmark items, sorted by hash, with item and place."""
+def needed(n: int) -> int:
+    """How many of an item's words must be covered."""
+    return min(RUN, -(-n // 2)) if n >= LEAST else n
 
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
+
+def consistent(item: Canon, doc: Canon, places: np.ndarray, key: int) -> bool:
+    """Whether each slot value of the item stands for one value of the document."""
+    places = places[item.slots[key][places]]
+    pairs = set(zip(item.plain[places].tolist(), doc.plain[places].tolist()))
+    return len(pairs) == len({a for a, _ in pairs})
+
+
+def judged(item: Canon, doc: Canon, there: np.ndarray) -> tuple[str, int, int] | None:
+    """(kind, words covered, first word covered) of an alignment, or None.
+
+    ``doc`` has a word for each of the item's; ``there`` tells which of these the document has at all.
+    """
+    n = len(item.plain)
+    width, need = min(WINDOW, n), needed(n)
+    plain = covered = agree = _cover(_sums((item.plain == doc.plain) & there, width) == width, width, n)
+    if plain.sum() >= need:
+        return "exact", int(plain.sum()), int(plain.argmax())
+    for key in (_TEMPLATE, _OPEN) if n >= LEAST else ():
+        same = (item.hashes[key] == doc.hashes[key]) & there
+        hits = (_sums(same, width) == width) & item.telling(width, key)
+        agree = agree | _cover(hits, width, n)
+        covered = covered | _cover(hits & (2 * _sums(item.slots[key], width) <= width), width, n)
+        if covered.sum() >= need and consistent(item, doc, np.flatnonzero((agree if key == _OPEN else covered) & ~plain), key):
+            return "template", int(covered.sum()), int(covered.argmax())
+        if hits.any() and same.all() and consistent(item, doc, np.arange(n), key):
+            return "template", n, 0
+    return None
+
+
+# --- the benchmark ---------------------------------------------------------------------------------------------------
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, n, plain, kinds, windows) of each different item with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        self.ids = [i for i, _ in items]
-        self.items = [Canon.of([t], words) for _, t in items]
-        self.widths = sorted({min(WINDOW, len(c.plain)) for c in self.items if len(c.plain)})
-        self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.seen: dict[tuple[int, int], np.ndarray] = {}  # by a hash's first bits: whether any window has them
-        for w in self.widths:
-            mine = [i for i, c in enumerate(self.items) if min(WINDOW, len(c.plain)) == w]
-            for key in (_PLAIN, _TEMPLATE, _OPEN) if w >= LEAST else (_PLAIN,):
-                parts = []
-                for i in mine:
-                    c = self.items[i]
-                    h = window_hashes(c.hashes[key], w)
-                    keep = np.ones(len(h), bool)
-                    if key:  # one that is no other than in the key before adds nothing, nor do slots alone
-                        slots, fewer = (np.convolve(c.slots[k], np.ones(w, int), "valid") for k in (key, key - 1))
-                        keep = (slots > fewer) & (slots < w)
-                    at = np.flatnonzero(keep)
-                    parts.append((h[at], np.full(len(at), i), at))
-                h, item, at = (np.concatenate(x) for x in zip(*parts))
-                o = np.argsort(h, kind="stable")
-                self.keys[w, key] = h[o], item[o], at[o]
-                self.seen[w, key] = seen = np.zeros(1 << _FILTER, bool)
-                seen[h >> _U(64 - _FILTER)] = True
-
-    def hits(self, texts: Canon) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(text, item, place in it, place in the text, width, kind of key) of each equal window."""
-        begins = np.concatenate([[0], texts.ends[:-1]])
-        for (w, key), (h, item, at) in self.keys.items():
-            if not len(h) or key and not texts.slots[key].any():
-                continue
-            mine = window_hashes(texts.hashes[key], w)
-            maybe = np.flatnonzero(self.seen[w, key][mine >> _U(64 - _FILTER)])
-            lo = np.searchsorted(h, mine[maybe], "left")
-            same = np.flatnonzero((lo < len(h)) & (h[np.minimum(lo, len(h) - 1)] == mine[maybe]))
-            text = np.searchsorted(texts.ends, maybe[same], "right")
-            for p, q, i in zip(maybe[same], lo[same], text):
-                if p + w > texts.ends[i]:
-                    continue  # the window runs into the next text
-                while q < len(h) and h[q] == mine[p]:
-                    yield int(i), int(item[q]), int(at[q]), int(p - begins[i]), w, key
-                    q += 1
-
-    def judge(self, texts: Canon) -> Iterator[tuple[int, list[tuple[int, str, int, int, int]]]]:
-        """(text, rows) of each text that holds an item; rows: item_id, kind, words of the item, words covered, first word."""
-        found: dict[int, dict[tuple[int, int], list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, item, at, p, w, key in self.hits(texts):
-            found[i][item, p - at].append((at, w, key))
-        for i in sorted(found):
-            if rows := self.judge_one(texts.text(i), found[i]):
-                yield i, rows
-
-    def judge_one(self, doc: Canon, by: dict[tuple[int, int], list[tuple[int, int, int]]]) -> list[tuple[int, str, int, int, int]]:
-        best: dict[int, tuple] = {}
-        for (item, shift), found in by.items():
-            c = self.items[item]
-            n = len(c.plain)
-            need = min(RUN, -(-n // 2)) if n >= LEAST else n
-            covers: list[set[int]] = [set(), set(), set()]  # by the kinds of keys up to each
-            agree: set[int] = set()  # also in windows mostly of slots
-            for at, w, key in found:
-                agree.update(range(at, at + w))
-                if not key or 2 * c.slots[key][at : at + w].sum() <= w:
-                    for cover in covers[key:]:
-                        cover.update(range(at, at + w))
-            kind, cover = "exact" if len(covers[_PLAIN]) >= need else "template", covers[_PLAIN]
-            if kind == "template":
-                for key in (_TEMPLATE, _OPEN):
-                    cover = covers[key]
-                    if len(cover) >= need and self.consistent(c, doc, sorted((agree if key == _OPEN else cover) - covers[_PLAIN]), shift, key):
-                        break
-                    if any(k == key for _, _, k in found) and self.whole(c, doc, shift, key):
-                        cover = set(range(n))
-                        break
-                else:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c = Canon.of([batch.column("text")[i].as_py()], words)
+                n = len(c.plain)
+                if not n:
                     continue
-            row = (self.ids[item], kind, n, len(cover), min(cover) + shift)
-            if item not in best or row[3] > best[item][3]:
-                best[item] = row
-        return sorted(best.values())
-
-    @classmethod
-    def whole(cls, item: Canon, doc: Canon, shift: int, key: int) -> bool:
-        """Whether the document holds the whole item there, literals and kinds of slots, with consistent slots."""
-        n = len(item.plain)
-        if shift < 0 or not np.array_equal(item.hashes[key], doc.hashes[key][shift : shift + n]):
-            return False
-        return cls.consistent(item, doc, list(range(n)), shift, key)
-
-    @staticmethod
-    def consistent(item: Canon, doc: Canon, places: list[int], shift: int, key: int) -> bool:
-        """Whether each slot value of the item stands for one value of the document."""
-        means: dict[int, int] = {}
-        for p in places:
-            if item.slots[key][p]:
-                a, b = int(item.plain[p]), int(doc.plain[p + shift])
-                if means.setdefault(a, b) != b:
-                    return False
-        return True
-
-
-def _slices(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
-    """The items in slices whose tables stay within the bound (about 80 bytes a word)."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    out: list[list] = [[]]
-    size = 0
-    for r in rows.toLocalIterator():  # partition by partition: the driver holds one slice and the list of earlier ones
-        n = 80 * (1 + len(r.text or "") // 4)
-        if out[-1] and size + n > TABLE_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, r.text))
-        size += n
-    return out
+                width, found = min(WINDOW, n), []
+                for key, h in c.windows(width):
+                    found += [{"h": int(h[at]), "at": int(at), "key": key} for at in np.flatnonzero(c.telling(width, key))]
+                window = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("key", pa.int8())]))
+                found = [f | {"h": f["h"] - (f["h"] >> 63 << 64)} for f in found]
+                cols = [batch.column("item").slice(i, 1), batch.column("item_id").slice(i, 1), pa.array([n], pa.int32()), pa.array([c.plain.astype("<u8").tobytes()], pa.binary()), pa.array([c.kinds.tobytes()], pa.binary()), pa.array([found], window)]
+                yield pa.RecordBatch.from_arrays(cols, names=["item", "item_id", "n", "plain", "kinds", "windows"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
+    rows = rows.withColumn("item", F.xxhash64("item_id", "text"))
+    return map_arrow(rows, run, "item long, item_id long, n int, plain binary, kinds binary, windows array<struct<h:long,at:int,key:byte>>")
+
+
+def _joined(items: DataFrame, stage: Staged) -> DataFrame:
+    """(h, item, at, n): the windows that are joined.  Of hot ones those of items that these could show up by alone."""
+    windows = stage.save(items.select("item", "n", F.explode("windows").alias("w")).select("item", "n", "w.h", "w.at", "w.key"), "windows")
+    hot = windows.groupBy("h").agg(F.count_distinct("item").alias("items")).where(F.col("items") > HOT).select("h", F.lit(True).alias("hot"))
+    windows = stage.save(windows.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), "marked")
+    stage.drop("windows")
+    width = F.least("n", F.lit(WINDOW))
+    after = F.lead("at").over(Window.partitionBy("item").orderBy("at"))
+    cover = windows.where("hot").select("item", "n", "at").distinct().select("item", "n", F.least(F.coalesce(after - F.col("at"), width), width).alias("words"))
+    need = F.when(F.col("n") >= LEAST, F.least(F.lit(RUN), F.ceil(F.col("n") / 2))).otherwise(F.col("n"))
+    enough = cover.groupBy("item", "n").agg(F.sum("words").alias("words")).where(F.col("words") >= need).select("item", F.lit(True).alias("enough"))
+    only = windows.groupBy("item", "key").agg(F.min("hot").alias("only"))  # all of a kind are hot
+    kept = windows.join(enough, "item", "left").join(only, ["item", "key"]).where("not hot or enough or only")
+    return kept.select("h", "item", "at", "n")
+
+
+def _filter(joined: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of the windows' hashes, and flags by their first bits; both of a bounded size."""
+    bits = 1 << 16
+    while bits < 64 * joined.count() and bits < FILTER_BITS:
+        bits *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, seen = np.zeros(bits >> 3, np.uint8), np.zeros(1 << _SEEN, bool)
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(_U)
+            seen[h >> _U(64 - _SEEN)] = True
+            for at in _probes(h, bits):
+                np.bitwise_or.at(mine, at >> _U(3), np.left_shift(1, at & _U(7), dtype=np.uint8, casting="unsafe"))
+        yield pa.RecordBatch.from_arrays([pa.array([mine.tobytes()], pa.binary()), pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["bits", "seen"])
+
+    bitmap, seen = np.zeros(bits >> 3, np.uint8), np.zeros(1 << _SEEN >> 3, np.uint8)
+    for r in map_arrow(joined.select("h").coalesce(8), run, "bits binary, seen binary").toLocalIterator():
+        bitmap |= np.frombuffer(r.bits, np.uint8)
+        seen |= np.frombuffer(r.seen, np.uint8)
+    return bitmap, np.unpackbits(seen).astype(bool)
+
+
+def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for shift in (0, 22, 37):
+        yield (h >> _U(shift)) * _U(0x9E3779B97F4A7C15) >> _U(64 - bits.bit_length() + 1)
+
+
+# --- documents -------------------------------------------------------------------------------------------------------
+
+
+def _proposals(docs: DataFrame, widths: list[int], bitmap, bits: int) -> DataFrame:
+    """(row, doc_id, plain, kinds, hits) of the documents that have windows which the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        (mine, seen), words, row = bitmap.value, Words(), TaskContext.get().partitionId() << 40
+        for whole in batches:
+            out: list[tuple] = []
+            for part in (whole.slice(a, _TEXTS) for a in range(0, whole.num_rows, _TEXTS)):
+                if len(words) > 400_000:
+                    words = Words()
+                c = Canon.of(part.column("text").to_pylist(), words)
+                hashes, places = [np.empty(0, _U)], [np.empty(0, np.int64)]
+                for width in widths:
+                    for _, h in c.windows(width):
+                        at = np.flatnonzero(seen[h >> _U(64 - _SEEN)])
+                        if len(at):
+                            keep = np.ones(len(at), bool)
+                            for probe in _probes(h[at], bits):
+                                keep &= mine[probe >> _U(3)] >> (probe & _U(7)).astype(np.uint8) & 1 > 0
+                            at = at[keep]
+                            at = at[at + width <= c.ends[np.searchsorted(c.ends, at, "right")]]  # not into the next text
+                        hashes.append(h[at])
+                        places.append(at)
+                h, at = np.concatenate(hashes), np.concatenate(places)
+                text = np.searchsorted(c.ends, at, "right")
+                for i in np.unique(text).tolist():
+                    a, b = (int(c.ends[i - 1]) if i else 0), int(c.ends[i])
+                    some = text == i
+                    out.append((row, part.column("doc_id")[i].as_py(), c.plain[a:b].astype("<u8").tobytes(), c.kinds[a:b].tobytes(), h[some].view(np.int64).tolist(), (at[some] - a).tolist()))
+                    row += 1
+            if out:
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["row", "doc_id", "plain", "kinds", "h", "place"])
+
+    return map_arrow(documents(docs), run, "row long, doc_id long, plain binary, kinds binary, h array<long>, place array<int>")
+
+
+def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
+    cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+    keep, found = [], []
+    for i, shift in enumerate(cols["shift"]):
+        item = Canon(np.frombuffer(cols["plain"][i], "<u8").astype(_U), np.frombuffer(cols["kinds"][i], np.int8), np.empty(0))
+        n, begin, end = len(item.plain), max(0, -shift), max(0, -shift) + len(cols["doc_kinds"][i])
+        plain, kinds = np.zeros(n, _U), np.zeros(n, np.int8)
+        plain[begin:end], kinds[begin:end] = np.frombuffer(cols["doc_plain"][i], "<u8"), np.frombuffer(cols["doc_kinds"][i], np.int8)
+        there = np.zeros(n, bool)
+        there[begin:end] = True
+        if said := judged(item, Canon(plain, kinds, np.empty(0)), there):
+            keep.append(i)
+            found.append((*said[:2], said[2] + shift))
+    some = pa.array(keep, pa.int64())
+    own = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int32(), pa.int32()))] if found else [pa.array([], t) for t in (pa.string(), pa.int32(), pa.int32())]
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(some) for c in ("row", "doc_id", "item", "item_id", "n")), *own], names=["row", "doc_id", "item", "item_id", "n", "kind", "covered", "first_word"])
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, kind, n_words, covered, first_word): each benchmark item that a row of ``docs`` holds.
 
-    kind is ``exact``, or ``template`` where only numbers, names or units differ, consistently.  Documents without
-    an item have no row; null and empty texts match nothing; items of fewer than four words match only as a whole, word
-    for word; an item_id that repeats is looked for with each of its texts.  A null doc_id is reported as null.  A benchmark of any size is
-    covered: it's taken in slices.
+    kind is ``exact``, or ``template`` where only numbers, names or units differ, consistently.  Documents without an item
+    have no row; null and empty texts match nothing, nor do items without an id or words; items of fewer than four words
+    match only as a whole, word for word; an item_id that repeats is looked for with each of its texts, equal ones once.
+    Each row of ``docs`` counts for itself, so rows that repeat are each reported, as are null doc_ids.  Of several places
+    in a document the one that covers most is told, the first of equals.  Very long texts are taken whole.  An empty table
+    on either side gives an empty one.
     """
-    rows, out = documents(docs), None
-    for items in _slices(benchmark):
-        sent = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            table, words = Table(sent.value), Words()
-            for batch in batches:
-                found: list[tuple] = []
-                for part in (batch.slice(a, _TEXTS) for a in range(0, batch.num_rows, _TEXTS)):
-                    if len(words) > 400_000:
-                        words = Words()
-                    ids = part.column("doc_id").to_pylist()
-                    for i, rows_ in table.judge(Canon.of(part.column("text").to_pylist(), words)):
-                        found += [(ids[i], *row) for row in rows_]
-                if found:
-                    types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-                    names = ["doc_id", "item_id", "kind", "n_words", "covered", "first_word"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
-
-        more = map_arrow(rows, run, _RUN_SCHEMA)
-        out = more if out is None else out.unionByName(more)
-    return out
+    stage = Staged(spark)
+    items = stage.save(_items(benchmark), "items")
+    joined = stage.save(_joined(items, stage), "joined")
+    stage.drop("marked")
+    widths = sorted(r.w for r in items.select(F.least("n", F.lit(WINDOW)).alias("w")).distinct().collect())  # numbers from 1 to WINDOW
+    bitmap, seen = _filter(joined)
+    sent = spark.sparkContext.broadcast((bitmap, seen))
+    texts = stage.save(_proposals(docs, widths, sent, len(bitmap) << 3), "texts")
+    hits = texts.select("row", F.explode(F.arrays_zip("h", "place")).alias("w")).select("row", "w.h", "w.place")
+    pairs = hits.join(joined, "h").select("row", "item", "n", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    begin = F.greatest("shift", F.lit(0))
+    size = F.greatest(F.col("n") + F.col("shift") - begin, F.lit(0))  # what lies before the document's start is left out
+    words = texts.select("row", "doc_id", F.col("plain").alias("doc_plain"), F.col("kinds").alias("doc_kinds"))
+    pairs = pairs.join(words, "row").select("row", "doc_id", "item", "shift", F.substring("doc_plain", 8 * begin + 1, 8 * size).alias("doc_plain"), F.substring("doc_kinds", begin + 1, size).alias("doc_kinds"))
+    pairs = pairs.join(items.select("item", "item_id", "n", "plain", "kinds"), "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (_verified(b) for b in batches if b.num_rows)
+
+    found = map_arrow(pairs, run, "row long, doc_id long, item long, item_id long, n int, kind string, covered int, first_word int")
+    best = F.max(F.struct("covered", (-F.col("first_word")).alias("back"), "kind")).alias("best")
+    rows = found.groupBy("row", "doc_id", "item", "item_id", "n").agg(best)
+    return rows.select("doc_id", "item_id", "best.kind", F.col("n").alias("n_words"), "best.covered", (-F.col("best.back")).alias("first_word"))

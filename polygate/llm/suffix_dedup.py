@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polygate.llm.common import Staged, map_arrow
+from polygate.llm.common import Staged, doubled, map_arrow, pair
 
 #: Bytes of text for each partition of a sort, and partitions at most: beyond, a sort spills.
 PART_BYTES, MOST_PARTS = 64 << 20, 50_000
@@ -52,36 +52,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-#: Names of single bytes and the multipliers of two families of ranks, independent of one another.
+#: Names of single bytes in two families of ranks, independent of one another.
 _BYTES = [np.random.default_rng(20240607 + i).integers(0, 1 << 64, 256, dtype=_U) for i in range(2)]
-_PAIR = ((_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)), (_U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)))
-
-
-def _pair(left: np.ndarray, right: np.ndarray, family: int = 0) -> np.ndarray:
-    """The rank of each pair of ranks."""
-    a, b = _PAIR[family]
-    out = left * a
-    out += right
-    out ^= out >> _U(32)
-    out *= b
-    out ^= out >> _U(29)
-    return out
 
 
 def ranks(data: np.ndarray, lengths: tuple[int, ...], family: int = 0) -> list[np.ndarray]:
-    """For each of the lengths, which ascend, the ranks of all strings of that length, by prefix doubling."""
-    rank, h, out = _BYTES[family][data], 1, []
-    for length in lengths:
-        while 2 * h <= length:
-            rank, h = _pair(rank[: max(0, len(rank) - h)], rank[h:], family), 2 * h
-        more = length - h  # a pair at this offset overlaps and reaches the length
-        out.append(_pair(rank[: max(0, len(rank) - more)], rank[more:], family) if more else rank)
-    return out
+    """For each of the lengths, which ascend, the ranks of all strings of that length."""
+    return doubled(_BYTES[family][data], lengths, family)
 
 
 def _content(rank: np.ndarray, first: np.ndarray, last: np.ndarray, mark: np.ndarray) -> np.ndarray:
     """The rank of what windows first..last cover, from the pair of its ends, and of where the mark stands in it."""
-    return _pair(rank[first], rank[last]) ^ _mix((mark - first).astype(_U) << _U(20) | (last - first).astype(_U))
+    return pair(rank[first], rank[last]) ^ _mix((mark - first).astype(_U) << _U(20) | (last - first).astype(_U))
 
 
 def marks(order: np.ndarray, w: int) -> np.ndarray:
@@ -184,7 +166,7 @@ def _flush(rows: list[np.ndarray]) -> pa.RecordBatch:
     tell = np.flatnonzero(often & new_key)
     # rows that are settled, or wait for the next round, go anywhere
     away = kind != _RANKED
-    spread = _mix(doc[away].view(_U) * _PAIR[0][0] + first[away].astype(_U))
+    spread = _mix(doc[away].view(_U) * _U(0x9E3779B97F4A7C15) + first[away].astype(_U))
     told = [x[tell] for x in (key, full, doc, first, last, mark)]
     key[away] = spread
     cols = [np.concatenate([a, b]) for a, b in zip((kind, key, full, doc, first, last, mark), (np.full(len(tell), _OFTEN_TIED), *told), strict=True)]

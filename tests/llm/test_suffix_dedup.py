@@ -80,7 +80,7 @@ def test_ranks_name_contents(family):
         names = {}
         assert all(names.setdefault(c, r) == r for c, r in zip(content, rank.tolist())) and len(set(names.values())) == len(names)
     at4, at8 = suffix_dedup.ranks(data, (4, 8), family)
-    assert (suffix_dedup._pair(at4[:-4], at4[4:], family) == at8).all()  # a rank is made from two shorter ones
+    assert (suffix_dedup.pair(at4[:-4], at4[4:], family) == at8).all()  # a rank is made from two shorter ones
 
 
 def test_rounds_by_hand(monkeypatch):
