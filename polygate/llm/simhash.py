@@ -12,19 +12,24 @@ partitions, a list of at most 64 emits its verified links, a longer one emits a
 or, beyond 20,000, over the midpoints two bits away.  Nothing is capped.
 
 A few bits of one sum over all shingles tell only copies with few edits: at a Jaccard similarity of 0.8, 64-bit
-fingerprints differ in about 10 bits, where no byte is sure to be shared.  With ``similarity`` the operator therefore
-also takes a fingerprint of 256 positional bytes, one for each class of shingles: the hash of the class's smallest
-shingle, which is the SimHash of that one.  Lists are keyed by six positions at once; within a list the tally of equal
-positional bytes estimates the Jaccard similarity (standard error 0.025 at 0.8).  Pairs up to 4.5 errors below it form loose
-groups, and within those the whole shingle sets are compared, so what is linked has the similarity exactly.  Here texts
-collapse by a hash of the whole shingle set, never by fingerprint: one line that repeats often gives texts with little else
-in common equal fingerprints, which therefore only propose pairs (a list of their own).
+fingerprints differ in about 10 bits, where no byte is sure to be shared, so this method can't find such pairs.  With
+``similarity`` candidates therefore come from another one as well, MinHash: shingles fall into 256 classes by hash, and a
+text keeps the smallest hash of each class.  Lists are keyed by bands of six classes; a byte for each class makes the
+sketch, whose equal positions estimate the similarity (standard error 0.025 at 0.8).  Three rules make a link:
+
+* two texts are candidates if they share a band, if their fingerprints are equal, or by a link of the fingerprint index;
+* a candidate from a band is dropped if its sketch is more than 4.5 standard errors below the similarity;
+* of those that are left the whole shingle sets are compared, so what is linked has the similarity exactly.
+
+The rules are the same for groups of any size.  Links of texts that are tied already aren't looked for, as only
+components are wanted.  Texts collapse by a hash of the whole shingle set, never by fingerprint: one line that repeats
+often gives texts with little else in common equal fingerprints, which therefore only propose pairs.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +42,7 @@ from polygate.llm.components import components
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _CHUNK, _SMALL, _LARGE = 1 << 16, 64, 20_000
-_GROUP = 500  # texts of a loose group that one task compares
+_GROUP = 500  # texts of a loose group that one task takes as a whole; larger ones go by their lists, with the same candidates
 
 
 def _bit_counts(digests: list[bytes]) -> np.ndarray:
@@ -286,7 +291,7 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     return map_arrow(posted, run, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str], names: Sequence[str]) -> Iterator[list[np.ndarray]]:
     """The columns of each run of rows with equal values of ``by``, from sorted batches; runs of one row are left out."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
@@ -310,52 +315,41 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str], names: tuple[str,
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _forest(fp: np.ndarray, near: Callable[[int], np.ndarray], holds: Callable[[int, int], bool] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all pairs that hold; near(i) gives the earlier rows that row i may be tied to, best first.
+def _forest(fp: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], holds: Callable[[int, int], bool] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all pairs that hold; near(i, some) gives those of the rows that row i may be tied to, best first.
 
-    Rows that are tied already aren't compared.
+    Rows that are tied already aren't compared, so a list of copies takes time in proportion to its rows.
     """
     label, left, right = np.arange(len(fp)), [], []
     for i in range(1, len(fp)):
-        some = near(i)
-        if holds is None and len(some):
-            some = some[np.sort(np.unique(label[some], return_index=True)[1])]
-        for j in some.tolist():
-            if label[j] != label[i] and (holds is None or holds(i, j)):
-                left.append(fp[j])
-                right.append(fp[i])
-                new, old = sorted((label[i], label[j]))
-                label[: i + 1][label[: i + 1] == old] = new
+        first = np.unique([i - 1, 0, label[i - 1]])
+        for some in (first, None):
+            if some is None:
+                some = np.flatnonzero(label[:i] != label[i])
+            for j in near(i, some).tolist() if len(some) else ():
+                if label[j] != label[i] and (holds is None or holds(i, j)):
+                    left.append(fp[j])
+                    right.append(fp[i])
+                    new, old = sorted((label[i], label[j]))
+                    label[: i + 1][label[: i + 1] == old] = new
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _similar(fp: np.ndarray, x: np.ndarray, least: float, sets: list[np.ndarray] | None = None, similarity: float = 0.0, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect the fingerprints of one list whose positional bytes agree often enough.
+def _similar(fp: np.ndarray, x: np.ndarray, least: float, sets: list[np.ndarray] | None = None, similarity: float = 0.0, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the texts of one list whose sketches agree often enough.
 
-    With sets (hashes of all shingles, sorted) a pair must also have the similarity, exactly.  A list of over 4096 is
-    dealt again, by further positions; what still is large is compared in full.
+    With sets (hashes of all shingles, sorted) a pair must also have the similarity, exactly; with keys it must share one.
     """
-    if len(fp) > 4096 and depth < 2:
-        for i in range(0, x.shape[1], 8):
-            sub = x[:, i : i + 8][:, depth * 4 : depth * 4 + 4]
-            key = np.ascontiguousarray(sub).view(np.uint32).ravel()
-            order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order])) + 1
-            for part in np.split(order, cuts):
-                if 1 < len(part) < len(fp):
-                    yield from _similar(fp[part], x[part], least, None if sets is None else [sets[p] for p in part], similarity, depth + 1)
-                elif len(part) == len(fp):
-                    yield from _similar(fp, x, least, sets, similarity, 2)
-                    return
-        return
-    some = x > 0
+    full = x > 0
 
-    def near(i: int) -> np.ndarray:
-        both = ((x[:i] == x[i]) & some[i]).sum(1)
-        close = np.flatnonzero(both + 1 >= least * (some[:i] | some[i]).sum(1))  # one more, as few shingles may share a class
-        return close[np.argsort(-both[close], kind="stable")]
+    def near(i: int, some: np.ndarray) -> np.ndarray:
+        if keys is not None:
+            some = some[(keys[some] == keys[i]).any(1)]
+        both = ((x[some] == x[i]) & full[i]).sum(1)
+        close = both + 1 >= least * (full[some] | full[i]).sum(1)  # one more, as few shingles may share a class
+        return some[close][np.argsort(-both[close], kind="stable")]
 
-    yield _forest(fp, near, None if sets is None else lambda i, j: _jaccard(sets[i], sets[j]) >= similarity)
+    return _forest(fp, near, None if sets is None else lambda i, j: _jaccard(sets[i], sets[j]) >= similarity)
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -368,18 +362,22 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _judged(lists: DataFrame, by: list[str], least: float, similarity: float) -> DataFrame:
-    """(a, b): links within each list of rows (``by``, node, sketch[, set])."""
+    """(a, b): links within each list of rows (``by``, node, sketch[, set][, keys])."""
     cols = [F.col(c) for c in by]
-    exact = "set" in lists.columns
-    names = ("node", "sketch", "set")[: 2 + exact]
+    names = ["node", "sketch", *(c for c in ("set", "keys") if c in lists.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, by, names):
-            node, sketch = group[len(by) : len(by) + 2]
-            x = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
-            sets = [np.frombuffer(s, np.uint64) for s in group[-1]] if exact else None
-            for a, b in _similar(node, x, least, sets, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            of = dict(zip(names, group[len(by) :]))
+            x = np.frombuffer(b"".join(of["sketch"]), np.uint8).reshape(len(of["node"]), -1)
+            sets = [np.frombuffer(s, np.uint64) for s in of["set"]] if "set" in of else None
+            keys = None
+            if "keys" in of:  # a text without words has none: it shares none
+                keys = np.zeros((len(x), max(map(len, of["keys"]))), np.int64)
+                for row, k in zip(keys, of["keys"]):
+                    row[: len(k)] = k
+            a, b = _similar(of["node"], x, least, sets, similarity, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     rows = lists.select(*by, *names).repartition(*cols).sortWithinPartitions(*cols, "node")
     return map_arrow(rows, run, "a long, b long")
@@ -435,9 +433,9 @@ def _proposed(classes: DataFrame, close: DataFrame) -> DataFrame:
 def similar_links(spark: SparkSession, docs: DataFrame, classes: DataFrame, close: DataFrame, shingle: int, similarity: float, stage: Staged) -> DataFrame:
     """(a, b): links between nodes of texts whose shingles have the Jaccard similarity or more.
 
-    Sketches and ``close`` (links between fingerprints) pick loose groups first: 4.5 standard errors below the similarity.  Within a group the
-    shingle sets decide.  A group of over ``_GROUP`` texts goes by its lists and by the links that proposed it instead, so no
-    task gets all of it.
+    Sketches and ``close`` (links between fingerprints) pick loose groups first, and only texts of these are compared.  A
+    group of up to ``_GROUP`` texts is one task's, where a text and its shingle set are once; a larger one goes by its lists,
+    so no task gets all of it.  Both judge the pairs that share a key.
     """
     least = similarity - 4.5 * (similarity * (1 - similarity) / Sketch.CLASSES) ** 0.5
     posted = stage.save(_posted(classes), "posted")
@@ -446,12 +444,12 @@ def similar_links(spark: SparkSession, docs: DataFrame, classes: DataFrame, clos
     loose = stage.save(proposed.unionByName(_judged(lists, ["band", "key"], least, 0.0)), "loose")
     groups = stage.save(components(spark, loose), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = classes.join(groups, "node").join(sizes, "root").select("root", "n", "node", "at", "sketch")
+    members = classes.join(groups, "node").join(sizes, "root").select("root", "n", "node", "at", "sketch", "keys")
     members = stage.save(_sets(stage.save(members, "members"), docs, shingle), "sets")
     small = _judged(members.where(F.col("n") <= _GROUP), ["root"], least, similarity)
     large = members.where(F.col("n") > _GROUP).select("node", "sketch", "set")
     found = small.unionByName(_judged(posted.join(large, "node"), ["band", "key"], least, similarity))
-    return found.unionByName(_confirmed(proposed, large, similarity))
+    return found.unionByName(_confirmed(proposed, members.select("node", "set"), similarity))
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
