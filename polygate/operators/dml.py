@@ -33,6 +33,10 @@ class Context:
     table: Callable[[str], Table]
     tables: Callable[[], dict[str, Table]]
     capture: bool = False
+    staged: list[str] = field(default_factory=list)  # what the statement wrote aside; it goes when the transaction ends
+
+    def stage(self, df: DataFrame, table: Table) -> DataFrame:
+        return self.store.stage(df, table.name, self.staged)
 
     def expr(self, tokens: list[Token]) -> str:
         return to_spark(tokens, self.dialect, named=False).text
@@ -50,19 +54,16 @@ class Outcome:
     rows: DataFrame | None = None  # the rows inserted, updated or deleted, for RETURNING
 
 
-def indexed(store: Store, df: DataFrame, table: str) -> tuple[DataFrame, int]:
+def indexed(store: Store, df: DataFrame, table: str, staged: list[str]) -> tuple[DataFrame, int]:
     """The rows, written once, with a gapless ``__idx`` from 0, and their number: offsets come from partition counts."""
     marked = df.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__mono"))
-    path = store.write(marked, table)
-    kept = df.sparkSession.read.schema(marked.schema).parquet(f"{store.root}/{path}")
-    offsets, total = {}, 0
+    kept = store.stage(marked, table, staged)
+    offsets, total = [], 0
     for r in sorted(kept.groupBy("__part").agg(F.count("*").alias("n"), F.min("__mono").alias("least")).collect()):
-        offsets[r["__part"]] = total - r.least
+        offsets.append((r["__part"], total - r.least))
         total += r.n
-    if not offsets:
-        return kept.select("*", F.lit(0).cast("long").alias("__idx")).drop("__part", "__mono"), 0
-    shift = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return kept.withColumn("__idx", F.col("__mono") + shift[F.col("__part")]).drop("__part", "__mono"), total
+    shift = df.sparkSession.createDataFrame(offsets, "__part int, __shift long")  # a row for each partition
+    return kept.join(shift, "__part").withColumn("__idx", F.col("__mono") + F.col("__shift")).drop("__part", "__mono", "__shift"), total
 
 
 def _key(columns: tuple[str, ...]) -> list[Column]:
@@ -77,10 +78,13 @@ def _full(columns: tuple[str, ...]) -> Column:
     return out
 
 
-def check_unique(ctx: Context, table: Table, rows: DataFrame, keys: list[tuple[str, ...]]) -> None:
-    """Raises for the first key whose columns repeat in ``rows``."""
+def check_unique(ctx: Context, table: Table, rows: DataFrame, keys: list[tuple[str, ...]], new: DataFrame | None = None) -> None:
+    """Raises for the first key whose columns repeat in ``rows``; with ``new`` only values of these rows are looked at."""
     for columns in keys:
-        bad = rows.where(_full(columns)).groupBy(*_key(columns)).agg(F.count("*").alias("__n")).where("__n > 1").select(*_key(columns)).first()
+        mine = rows.where(_full(columns)).select(*_key(columns))
+        if new is not None:
+            mine = mine.join(new.where(_full(columns)).select(*_key(columns)).distinct(), list(columns), "left_semi")
+        bad = mine.groupBy(*_key(columns)).agg(F.count("*").alias("__n")).where("__n > 1").select(*_key(columns)).first()
         if bad is not None:
             raise UniqueViolation("-".join(map(str, bad)), ", ".join(f"{table.name}.{c}" for c in columns))
 
@@ -115,12 +119,18 @@ def _no_orphans(children: DataFrame, table: Table, f, parents: DataFrame, parent
         raise ForeignKeyViolation(f"FOREIGN KEY constraint failed: {table.name}({', '.join(f.columns)})")
 
 
-def check_children(ctx: Context, table: Table, rows: DataFrame) -> None:
-    """After a delete or update: no other table refers to a row that is gone."""
+def check_children(ctx: Context, table: Table, before: DataFrame, after: DataFrame, moved: set[str] | None = None) -> None:
+    """No other table refers to a key that rows had before and none has now; with ``moved`` only those columns changed."""
     for other in ctx.tables().values():
         for f in other.foreign:
-            if f.parent.lower() == table.name.lower() and other.name.lower() != table.name.lower():
-                _no_orphans(ctx.frame(other), other, f, rows, table)
+            theirs = tuple(f.parent_columns or table.primary)
+            if f.parent.lower() != table.name.lower() or other.name.lower() == table.name.lower() or moved is not None and not moved & {c.lower() for c in theirs}:
+                continue
+            gone = before.where(_full(theirs)).select(*_key(theirs)).distinct().join(after.select(*_key(theirs)), list(theirs), "left_anti")
+            gone = gone.select(*[c.alias(f"__k{i}") for i, c in enumerate(_key(theirs))])
+            cond = [F.col(quote(c)) == F.col(f"__k{i}") for i, c in enumerate(f.columns)]
+            if not ctx.frame(other).join(gone, cond, "left_semi").isEmpty():
+                raise ForeignKeyViolation(f"FOREIGN KEY constraint failed: {other.name}({', '.join(f.columns)})")
 
 
 def _json(table: Table, prefix: str = "") -> Column:
@@ -194,7 +204,7 @@ def _source(ctx: Context, table: Table, ins: Insert) -> DataFrame:
 
 def _numbered(ctx: Context, table: Table, df: DataFrame) -> tuple[DataFrame, int]:
     """The rows with row ids and a sequence, and their number."""
-    rows, n = indexed(ctx.store, df, table.name)
+    rows, n = indexed(ctx.store, df, table.name, ctx.staged)
     alias = table.rowid_alias
     auto = next((c.name for c in table.columns if c.autoinc), None) or alias
     base = table.next_rowid
@@ -246,8 +256,7 @@ def insert(ctx: Context, table: Table, ins: Insert) -> Outcome:
     elif ins.conflict == "replace" and keys:
         for k in keys:
             new = _first_of(new, k, last=True)
-        gone = ctx.store.write(_clash(existing, new, keys).select(ROWID).distinct(), table.name)
-        gone = ctx.spark.read.parquet(f"{ctx.store.root}/{gone}")
+        gone = ctx.stage(_clash(existing, new, keys).select(ROWID).distinct(), table)
     if ins.conflict not in ("ignore", "replace") or ins.target:
         for k in keys:
             old = existing.select(*_key(k))
@@ -259,7 +268,8 @@ def insert(ctx: Context, table: Table, ins: Insert) -> Outcome:
     if gone is not None and not gone.isEmpty():
         if ctx.capture:
             changes.append((DELETED, table.name, deleted(table, existing.join(gone, ROWID, "left_semi"))))
-        segments = (ctx.store.write(existing.join(gone, ROWID, "left_anti").select(*cols), table.name),)
+        mine, rest = ctx.store.touched(ctx.spark, table, gone)
+        segments = (*rest, ctx.store.write(ctx.frame(mine).join(gone, ROWID, "left_anti").select(*cols), table.name))
     segment = ctx.store.write(new.select(*cols), table.name)
     written = ctx.spark.read.schema(table.schema()).parquet(f"{ctx.store.root}/{segment}")
     r = new.agg(F.max(ROWID).alias("most"), F.max_by(ROWID, "__seq").alias("last")).first()
@@ -270,8 +280,7 @@ def insert(ctx: Context, table: Table, ins: Insert) -> Outcome:
 
 
 def _kept(ctx: Context, table: Table, new: DataFrame) -> tuple[DataFrame, int]:
-    path = ctx.store.write(new, table.name)
-    new = ctx.spark.read.schema(new.schema).parquet(f"{ctx.store.root}/{path}")
+    new = ctx.stage(new, table)
     return new, new.count()
 
 
@@ -303,44 +312,120 @@ def _qualified(ctx: Context, table: Table, tokens: list[Token]) -> str:
 
 
 def _upsert(ctx: Context, table: Table, ins: Insert, new: DataFrame, existing: DataFrame, keys: list[tuple[str, ...]]) -> Outcome:
-    """Rows that clash update the row they meet, others are inserted; rows that repeat a key go one after the other."""
+    """Rows that clash update the row they meet, others are inserted; rows that repeat a key go one after the other.
+
+    With one key that the update leaves alone, the rows of a key are folded into the row they meet, so a key may repeat at
+    will; otherwise a round is run for each repeat.
+    """
+    new, n = _kept(ctx, table, new)
+    if not n:
+        return Outcome(table, 0)
+    names = {c.name.lower(): c for c in table.columns}
+    sets = {names[c.lower()].name: f"CAST({_qualified(ctx, table, v)} AS {names[c.lower()].type})" for c, v in ins.updates}
+    where = _qualified(ctx, table, ins.where) if ins.where else None
+    if len(table.keys) == 1 and not set(sets) & set(keys[0]):
+        merged = _folded(ctx, table, new, existing, keys[0], sets, where)
+        if merged is not None:
+            return _merged(ctx, table, new, n, merged, keys[0], sets)
+    return _rounds(ctx, table, new, n, keys, sets, where)
+
+
+def _folded(ctx: Context, table: Table, new: DataFrame, existing: DataFrame, key: tuple[str, ...], sets: dict[str, str], where: str | None) -> DataFrame | None:
+    """(__met, row id, first, was, now) for each value of the key: the row met or else the first new one, and what the others
+    make of it.  None if the assignments can't be folded, as those with subqueries.
+    """
+    t, cols = quote(table.name), [ROWID, *[c.name for c in table.columns]]
+    whole = F.struct("__seq", *map(quote, cols)).alias("row")
+    by = [F.col(quote(c)).alias(f"__k{i}") for i, c in enumerate(key)]
+    rows = new.where(_full(key)).select(*by, whole)
+    if where is None and not any(f"{t}." in e for e in sets.values()):  # the last row alone decides
+        least, most = F.min("row").alias("a"), F.max("row").alias("b")
+        lists = rows.groupBy(*[f"__k{i}" for i in range(len(key))]).agg(least, most).withColumn("rows", F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).drop("a", "b")
+    else:
+        lists = rows.groupBy(*[f"__k{i}" for i in range(len(key))]).agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    lonely = new.where(~_full(key)).select(*by, F.array(whole).alias("rows"))
+    old = existing.where(_full(key)).select(*by, F.struct(*map(quote, cols)).alias("met"))
+    joined = lists.join(old, [f"__k{i}" for i in range(len(key))], "left").unionByName(lonely, allowMissingColumns=True)
+    plain = lambda row: F.struct(*[row[c].alias(c) for c in cols])
+    joined = joined.select("rows", "met", F.coalesce("met", plain(F.col("rows")[0])).alias("was"), F.when(F.col("met").isNull(), F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows")).alias("others"))
+    made = ", ".join(f"'{c}', {sets.get(c, f'{t}.{quote(c)}')}" for c in cols)
+    one = f"named_struct({made})"
+    one = one if where is None else f"IF(COALESCE({where}, FALSE), {one}, {t})"
+    joined.createOrReplaceTempView("__folds")
+    try:
+        out = ctx.sql(f"SELECT met.{ROWID} AS __met, was.{ROWID} AS __id, rows[0] AS first, was, aggregate(others, was, ({t}, excluded) -> {one}) AS now FROM __folds")
+        return ctx.stage(out, table)
+    except Exception as e:
+        if isinstance(e, EngineError) or "lambda" not in str(e).lower() and "higher" not in str(e).lower() and "subquery" not in str(e).lower():
+            raise
+        return None
+
+
+def _merged(ctx: Context, table: Table, new: DataFrame, n: int, merged: DataFrame, key: tuple[str, ...], sets: dict[str, str]) -> Outcome:
+    """Writes what a fold made: files with a row that was met are written anew, the other rows are a new segment."""
+    cols = [ROWID, *[c.name for c in table.columns]]
+    of = lambda row, where: merged.where(where).select(*[F.col(f"{row}.{quote(c)}").alias(c) for c in cols])
+    fresh, met = of("now", "__met IS NULL"), of("now", "__met IS NOT NULL")
+    check_rows(ctx, table, of("first", "__met IS NULL"))
+    check_rows(ctx, table, fresh.unionByName(met))
+    mine, rest = ctx.store.touched(ctx.spark, table, met)
+    kept = ctx.frame(mine).join(met, ROWID, "left_anti").select(*cols)
+    segment = ctx.store.write(kept.unionByName(met).unionByName(fresh), table.name)
+    most = fresh.agg(F.max(ROWID)).first()[0] or 0
+    out = replace(table, segments=(*rest, segment), next_rowid=max(table.next_rowid, most + 1))
+    check_children(ctx, table, of("was", "__met IS NOT NULL"), ctx.frame(out), {c.lower() for c in sets})
+    ids = merged.select("__id", *[F.col(f"now.{quote(c)}").alias(f"__k{i}") for i, c in enumerate(key)])
+    end = new.orderBy(F.col("__seq").desc()).limit(1).select(F.col(ROWID).alias("__own"), *[F.col(quote(c)).alias(f"__k{i}") for i, c in enumerate(key)])
+    last = end.join(ids, [f"__k{i}" for i in range(len(key))], "left").select(F.coalesce("__id", "__own")).first()[0]
+    changes = []
+    if ctx.capture:
+        text = lambda row: F.to_json(F.struct(*[F.col(f"{row}.{quote(c)}").alias(c) for c in cols[1:]]), {"ignoreNullFields": "false"})
+        both = merged.where("__met IS NOT NULL").select(F.col("__met").alias("id"), text("was").alias("before"), text("now").alias("after"))
+        changes = [(UPDATED, table.name, both), (INSERTED, table.name, inserted(table, fresh))]
+    rows = ctx.spark.read.schema(table.schema()).parquet(f"{ctx.store.root}/{segment}").join(merged.select(F.col("__id").alias(ROWID)), ROWID, "left_semi")
+    return Outcome(out, n, last, changes, rows)
+
+
+def _rounds(ctx: Context, table: Table, new: DataFrame, n: int, keys: list[tuple[str, ...]], sets: dict[str, str], where: str | None) -> Outcome:
+    """The n-th rows of each key together, one round after the other."""
     turn = F.lit(1)
     for k in keys:
         turn = F.greatest(turn, F.when(_full(k), F.row_number().over(Window.partitionBy(*_key(k)).orderBy("__seq"))).otherwise(1))
-    new, n = _kept(ctx, table, new.withColumn("__turn", turn))
-    rounds = new.agg(F.max("__turn")).first()[0] or 0
+    new = ctx.stage(new.withColumn("__turn", turn), table)
+    rounds = new.agg(F.max("__turn")).first()[0]
     cols = [ROWID, *[c.name for c in table.columns]]
-    types = {c.name.lower(): c for c in table.columns}
     changes: list[tuple[int, str, DataFrame]] = []
-    frame, last, most, touched = existing, None, table.next_rowid - 1, None
+    last, touched = None, None
+    made, t = ", ".join(f"{e} AS {quote('__n_' + c)}" for c, e in sets.items()), quote(table.name)
+    cond = f" WHERE {where}" if where else ""
     for r in range(1, rounds + 1):
         mine = new.where(F.col("__turn") == r).drop("__turn")
+        frame = ctx.frame(table)
         met = _clash(frame, mine, keys).groupBy("__seq").agg(F.min(ROWID).alias("__met"))
-        mine = mine.join(met, "__seq", "left")
+        mine = ctx.stage(mine.join(met, "__seq", "left"), table)
         frame.createOrReplaceTempView("__existing")
         mine.where("__met is not null").createOrReplaceTempView("__incoming")
-        sets = ", ".join(f"CAST({_qualified(ctx, table, v)} AS {types[c.lower()].type}) AS {quote('__n_' + types[c.lower()].name)}" for c, v in ins.updates)
-        where = f" WHERE {_qualified(ctx, table, ins.where)}" if ins.where else ""
-        t = quote(table.name)
-        changed = ctx.sql(f"SELECT {t}.{ROWID}, {sets} FROM __existing AS {t} JOIN __incoming AS excluded ON {t}.{ROWID} = excluded.__met{where}")
-        changed = changed.dropDuplicates([ROWID])
-        frame, delta = _apply(ctx, table, frame, changed, [types[c.lower()].name for c, _ in ins.updates])
+        changed = ctx.sql(f"SELECT {t}.{ROWID}, {made} FROM __existing AS {t} JOIN __incoming AS excluded ON {t}.{ROWID} = excluded.__met{cond}")
+        changed = ctx.stage(changed.dropDuplicates([ROWID]), table)
+        part, rest = ctx.store.touched(ctx.spark, table, changed)
+        after, delta = _apply(ctx, table, ctx.frame(part), changed, list(sets))
         fresh = mine.where("__met is null").select(*cols)
         check_rows(ctx, table, fresh)
-        path = ctx.store.write(frame.select(*cols).unionByName(fresh), table.name)
         if ctx.capture:
             changes += [(UPDATED, table.name, delta), (INSERTED, table.name, inserted(table, fresh))]
-        frame = ctx.spark.read.schema(table.schema()).parquet(f"{ctx.store.root}/{path}")
+        segment = ctx.store.write(after.select(*cols).unionByName(fresh), table.name)
+        before = ctx.frame(part).join(changed.select(ROWID), ROWID, "left_semi")
+        most = fresh.agg(F.max(ROWID)).first()[0] or 0
+        table = replace(table, segments=(*rest, segment), next_rowid=max(table.next_rowid, most + 1))
+        check_children(ctx, table, before, ctx.frame(table), {c.lower() for c in sets})
         touched = mine.select(F.coalesce("__met", ROWID).alias(ROWID), "__seq")
         seen = touched.agg(F.max_by(ROWID, "__seq")).first()[0]
         last = seen if seen is not None else last
-        most = max(most, fresh.agg(F.max(ROWID)).first()[0] or 0)
-    if not rounds:
-        return Outcome(table, 0)
-    check_unique(ctx, table, frame, [tuple(k) for k in table.keys])
-    check_rows(ctx, table, frame)
-    check_children(ctx, table, frame)
-    return Outcome(replace(table, segments=(path,), next_rowid=most + 1), n, last, changes, frame.join(touched.select(ROWID), ROWID, "left_semi"))
+        written = ctx.frame(table)
+        rows = written.join(touched.select(ROWID), ROWID, "left_semi")
+        check_unique(ctx, table, written, [tuple(k) for k in table.keys], rows)
+        check_rows(ctx, table, rows)
+    return Outcome(table, n, last, changes, rows)
 
 
 # --- update and delete ----------------------------------------------------------------------------------------------
@@ -372,41 +457,43 @@ def update(ctx: Context, table: Table, u: Update) -> Outcome:
     sets = ", ".join(f"CAST({ctx.expr(v)} AS {types[c.lower()].type}) AS {quote('__n_' + types[c.lower()].name)}" for c, v in u.sets)
     where = f" WHERE {ctx.expr(u.where)}" if u.where else ""
     changed = ctx.sql(f"SELECT {ROWID}, {sets} FROM {_target(ctx, table, u.alias)}{where}")
-    path = ctx.store.write(changed, table.name)
-    changed = ctx.spark.read.schema(changed.schema).parquet(f"{ctx.store.root}/{path}")
+    changed = ctx.stage(changed, table)
     n = changed.count()
     if not n:
         return Outcome(table, 0, rows=ctx.frame(table).limit(0))
     names = [types[c.lower()].name for c, _ in u.sets]
-    frame, delta = _apply(ctx, table, ctx.frame(table), changed, names)
-    segment = ctx.store.write(frame, table.name)
-    out = replace(table, segments=(segment,))
+    mine, rest = ctx.store.touched(ctx.spark, table, changed)
+    frame, delta = _apply(ctx, table, ctx.frame(mine), changed, names)
+    out = replace(table, segments=(*rest, ctx.store.write(frame, table.name)))
     written = ctx.frame(out)
     moved = {x.lower() for x in names}
-    check_unique(ctx, table, written, [tuple(k) for k in table.keys if moved & {c.lower() for c in k}])
-    rows = written.join(changed.select(ROWID), ROWID, "left_semi")
-    if not table.rowid_alias or table.rowid_alias.lower() not in moved:
-        check_rows(ctx, table, rows)
-    else:
-        check_rows(ctx, table, written)
-        out = replace(out, next_rowid=max(table.next_rowid, (written.agg(F.max(ROWID)).first()[0] or 0) + 1))
-    check_children(ctx, table, written)
+    keys = [tuple(k) for k in table.keys if moved & {c.lower() for c in k}]
+    alias = table.rowid_alias
+    ids = changed.select(F.coalesce(F.col(quote("__n_" + alias)), F.col(ROWID)).alias(ROWID)) if alias and alias.lower() in moved else changed.select(ROWID)
+    rows = written.join(ids, ROWID, "left_semi")
+    check_unique(ctx, table, written, keys, rows)
+    check_rows(ctx, table, rows)
+    if alias and alias.lower() in moved:
+        out = replace(out, next_rowid=max(table.next_rowid, (rows.agg(F.max(ROWID)).first()[0] or 0) + 1))
+    check_children(ctx, table, ctx.frame(mine).join(changed.select(ROWID), ROWID, "left_semi"), written, moved)
     return Outcome(out, n, None, [(UPDATED, table.name, delta)] if ctx.capture else [], rows)
 
 
 def delete(ctx: Context, table: Table, d: Delete) -> Outcome:
     where = f" WHERE {ctx.expr(d.where)}" if d.where else ""
     ids = ctx.sql(f"SELECT {ROWID} FROM {_target(ctx, table, d.alias)}{where}")
-    path = ctx.store.write(ids, table.name)
-    ids = ctx.spark.read.schema(ids.schema).parquet(f"{ctx.store.root}/{path}")
+    ids = ctx.stage(ids, table)
     n = ids.count()
-    frame = ctx.frame(table)
-    rows = frame.join(ids, ROWID, "left_semi")
     if not n:
-        return Outcome(table, 0, rows=rows)
-    segments = () if d.where is None else (ctx.store.write(frame.join(ids, ROWID, "left_anti").select(*frame.columns), table.name),)
-    out = replace(table, segments=segments)
-    check_children(ctx, table, ctx.frame(out))
+        return Outcome(table, 0, rows=ctx.frame(table).limit(0))
+    if d.where is None:
+        out, rows = replace(table, segments=()), ctx.frame(table)
+    else:
+        mine, rest = ctx.store.touched(ctx.spark, table, ids)
+        frame = ctx.frame(mine)
+        rows = frame.join(ids, ROWID, "left_semi")
+        out = replace(table, segments=(*rest, ctx.store.write(frame.join(ids, ROWID, "left_anti").select(*frame.columns), table.name)))
+    check_children(ctx, table, rows, ctx.frame(out))
     changes = [(DELETED, table.name, deleted(table, rows))] if ctx.capture else []
     return Outcome(out, n, None, changes, rows)
 

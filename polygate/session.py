@@ -97,6 +97,7 @@ class Session:
         self._snapshot: Manifest | None = None
         self._overlay = _Overlay()
         self._savepoints: list[tuple[str, _Overlay]] = []
+        self._staged: list[str] = []  # what statements wrote aside, until the transaction ends
         self._views: dict[str, object] = {}
         self._shared: list[str] = []
         self._lock = threading.RLock()
@@ -309,7 +310,7 @@ class Session:
         return self.spark.createDataFrame(rows, schema)
 
     def _context(self, args: dict) -> dml.Context:
-        return dml.Context(self.spark, self._writable(), self.dialect, lambda text: self._spark_sql(text, args), self.table, self.tables, self._manifest().capture)
+        return dml.Context(self.spark, self._writable(), self.dialect, lambda text: self._spark_sql(text, args), self.table, self.tables, self._manifest().capture, self._staged)
 
     def _change(self, t: Translated, params: Sequence | None, lowered: bool) -> Result:
         self._refresh()
@@ -328,6 +329,8 @@ class Session:
                 self._refresh()
         except BaseException:
             self._overlay = kept
+            if not self.in_transaction:
+                store.unstage(self._staged)
             raise
         if not self.in_transaction:
             written, changes, self._overlay = overlay.tables, overlay.changes, _Overlay()
@@ -336,6 +339,7 @@ class Session:
                     store.commit(base, written, changes, log=lambda m, c: self._log(m, c))
                 finally:
                     self._views = {n: v for n, v in self._views.items() if n not in written}
+                    store.unstage(self._staged)
         return out
 
     def _apply(self, p: object, args: dict, lowered: bool) -> Result:
@@ -410,7 +414,7 @@ class Session:
         df = lower(df)
         cols = tuple(statements.Column(f.name, wire_class(f.dataType), kinds[wire_class(f.dataType)]) for f in df.schema)
         t = Table(p.name, cols, p.sql)
-        rows, n = dml.indexed(self._writable(), df, p.name)
+        rows, n = dml.indexed(self._writable(), df, p.name, self._staged)
         rows = rows.select((F.col("__idx") + 1).alias(dml.ROWID), *[F.col(quote(c.name)).cast(c.type) for c in cols])
         self._overlay.tables[p.name.lower()] = made = replace(t, segments=(self.store.write(rows, p.name),), next_rowid=n + 1)
         self._ddl_change("create", t)
@@ -542,6 +546,8 @@ class Session:
 
     def _end(self) -> None:
         self._snapshot, self._overlay, self._savepoints = None, _Overlay(), []
+        if self.store is not None:
+            self.store.unstage(self._staged)
         if self.admission is not None:
             self.admission.release(self)
 

@@ -1,7 +1,7 @@
 """A versioned table store on Parquet: snapshots, atomic commits, change capture.
 
-A table is a list of segments (Parquet folders) in a manifest.  Inserts add a segment; updates and deletes write the
-table anew.  A commit replaces the manifest in one rename, with all tables of a transaction, the change log's position
+A table is a list of segments (Parquet folders, or single files of one) in a manifest.  Inserts add a segment; updates
+and deletes write those files anew that hold a row which they touch.  A commit replaces the manifest in one rename, with all tables of a transaction, the change log's position
 and the replication watermark, so readers see all of it or nothing.  The first committer wins: a commit fails if a table
 it wrote has changed since the transaction's snapshot.
 """
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from polygate.errors import BusyError, ReadOnlyError
 from polygate.plans.statements import Column, ForeignKey, Index
@@ -221,6 +222,37 @@ class Store:
             return spark.createDataFrame([], table.schema())
         return spark.read.schema(table.schema()).parquet(*[f"{self.root}/{s}" for s in table.segments])
 
+    def touched(self, spark: SparkSession, table: Table, ids: DataFrame) -> tuple[Table, tuple[str, ...]]:
+        """The table's files that hold a row of ``ids`` (row ids), as a table, and its other segments as they are.
+
+        Only the row ids are scanned; the driver gets the names of the files touched.
+        """
+        if not table.segments:
+            return table, ()
+        name = F.regexp_extract("_metadata.file_path", "([0-9a-f]{32}/[^/]+)$", 1).alias("file")
+        scan = spark.read.schema(f"{ROWID} bigint").parquet(*[f"{self.root}/{s}" for s in table.segments]).select(ROWID, name)
+        hit = {r.file for r in scan.join(ids.select(ROWID), ROWID, "left_semi").select("file").distinct().collect()}
+        mine: list[str] = []
+        rest: list[str] = []
+        for s in table.segments:
+            files = [s] if s.endswith(".parquet") else [f"{s}/{f}" for f in self.files.list(s) if f.endswith(".parquet")]
+            there = [f for f in files if "/".join(f.split("/")[-2:]) in hit]
+            mine += there
+            rest += [f for f in files if f not in there] if there else [s]
+        return replace(table, segments=tuple(mine)), tuple(rest)
+
+    def stage(self, df: DataFrame, label: str, staged: list[str]) -> DataFrame:
+        """Rows written aside and read back, so that they are computed once; the path is added to ``staged``."""
+        staged.append(f"stage/{label.lower()}-{uuid.uuid4().hex}")
+        path = f"{self.root}/{staged[-1]}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def unstage(self, staged: list[str]) -> None:
+        """Removes what was written aside."""
+        while staged:
+            self.files.remove(staged.pop())
+
     def write(self, df: DataFrame, table: str) -> str:
         path = self.segment(table)
         df.write.parquet(f"{self.root}/{path}")
@@ -289,7 +321,7 @@ class Store:
         base = self.manifest()
         written = {n: replace(t, segments=(self.write(self.read(self.spark, t), n),)) for n, t in base.tables.items() if len(t.segments) > 1}
         now = self.commit(base, written) if written else base
-        used = {s for t in now.tables.values() for s in t.segments}
+        used = {"/".join(s.split("/")[:3]) for t in now.tables.values() for s in t.segments}
         gone = 0
         for table in self.files.list("data"):
             for s in self.files.list(f"data/{table}"):

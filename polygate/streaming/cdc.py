@@ -37,9 +37,10 @@ def enable_cdc(store: Store, on: bool = True) -> None:
 def write_log(spark: SparkSession, store: Store, manifest: Manifest, changes: list[tuple[int, str, DataFrame]]) -> int:
     """Writes one transaction's changes and its COMMIT row; returns how many change ids it used."""
     base, out = manifest.next_change, None
+    staged: list[str] = []
     for kind, table, rows in changes:
         updates = F.col("updates") if "updates" in rows.columns else F.lit(None).cast("string").alias("updates")
-        numbered, n = indexed(store, rows.select("id", "before", "after", updates), table)
+        numbered, n = indexed(store, rows.select("id", "before", "after", updates), table, staged)
         part = numbered.select(
             (F.lit(base) + F.col("__idx")).alias("change_id"), F.lit(manifest.next_txn).cast("long").alias("change_txn_id"), F.lit(kind).alias("change_type"),
             F.lit(table).alias("table_name"), F.col("id").cast("long").alias("id"), "before", "after", "updates",
@@ -49,6 +50,7 @@ def write_log(spark: SparkSession, store: Store, manifest: Manifest, changes: li
     end = spark.createDataFrame([(base, manifest.next_txn, COMMIT, None, None, None, None, None)], SCHEMA)
     out = end if out is None else out.unionByName(end)
     out.write.mode("overwrite").parquet(f"{store.root}/{LOG}/txn={manifest.next_txn:012d}")
+    store.unstage(staged)
     return base + 1 - manifest.next_change
 
 
@@ -66,27 +68,37 @@ class CdcTailer:
 
     def __init__(self, spark: SparkSession, store: Store, after: int = 0) -> None:
         self.spark, self.store, self.cursor = spark, store, after
-
-    def log(self) -> DataFrame | None:
-        """The committed log; None while there is none."""
-        m = self.store.manifest()
-        folders = [f for f in self.store.files.list(LOG) if f.startswith("txn=") and int(f[4:]) < m.next_txn]
-        if not folders:
-            return None
-        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.store.root}/{LOG}/{f}" for f in folders])
+        self.txn: int | None = None  # the transaction to look at next
 
     def poll_batch(self) -> Batch | None:
-        """The next whole transaction, however long; None if there is none yet.  The cursor moves to its end."""
-        log = self.log()
-        if log is None:
-            return None
-        new = log.where(F.col("change_id") > self.cursor)
-        end = new.where(F.col("change_type") == COMMIT).orderBy("change_id").select("change_id", "change_txn_id").first()
-        if end is None:
-            return None
-        changes = new.where((F.col("change_id") < end.change_id) & (F.col("change_type") != COMMIT))
-        self.cursor = end.change_id
-        return Batch(changes, end.change_id, end.change_txn_id)
+        """The next whole transaction, however long; None if there is none yet.  The cursor moves to its end.
+
+        The log is a folder for each transaction, in order: once the cursor's place is known, a poll opens one folder.
+        """
+        m = self.store.manifest()
+        if self.txn is None:
+            self.txn = self._first(m)
+        while self.txn < m.next_txn:
+            txn, self.txn = self.txn, self.txn + 1
+            if not self.store.files.exists(f"{LOG}/txn={txn:012d}"):
+                continue
+            log = self.spark.read.schema(SCHEMA).parquet(f"{self.store.root}/{LOG}/txn={txn:012d}")
+            end = log.where(F.col("change_type") == COMMIT).select("change_id").first()
+            if end.change_id > self.cursor:
+                changes = log.where((F.col("change_id") > self.cursor) & (F.col("change_type") != COMMIT))
+                self.cursor = end.change_id
+                return Batch(changes, end.change_id, txn)
+        return None
+
+    def _first(self, m: Manifest) -> int:
+        """The first transaction that ends after the cursor, by bisection over the folders' COMMIT rows."""
+        have = [int(f[4:]) for f in self.store.files.list(LOG) if f.startswith("txn=") and int(f[4:]) < m.next_txn]
+        low, high = 0, len(have) if self.cursor else 0
+        while low < high:
+            mid = (low + high) // 2
+            log = self.spark.read.schema(SCHEMA).parquet(f"{self.store.root}/{LOG}/txn={have[mid]:012d}")
+            low, high = (mid + 1, high) if log.where(F.col("change_type") == COMMIT).first().change_id <= self.cursor else (low, mid)
+        return have[low] if low < len(have) else m.next_txn
 
 
 def read_watermark(store: Store) -> int:
@@ -144,8 +156,10 @@ def _apply_rows(spark: SparkSession, replica: Store, data: DataFrame, now: dict[
         if table is None:
             raise EngineError(f"no such table: {name}")
         mine = last.where(F.col("table_name") == name)
-        frame = replica.read(spark, table)
-        kept = frame.join(mine.select(F.col("id").alias(ROWID)), ROWID, "left_anti").select(*frame.columns)
+        ids = mine.select(F.col("id").alias(ROWID))
+        part, rest = replica.touched(spark, table, ids)
+        frame = replica.read(spark, part)
+        kept = frame.join(ids, ROWID, "left_anti").select(*frame.columns)
         schema = ", ".join(f"{quote(c.name)} {c.type}" for c in table.columns)
         put = mine.where(F.col("change_type") != DELETE).select(F.col("id").alias(ROWID), F.from_json("after", schema).alias("row")).select(ROWID, "row.*")
         alias = table.rowid_alias
@@ -153,7 +167,7 @@ def _apply_rows(spark: SparkSession, replica: Store, data: DataFrame, now: dict[
             put = put.withColumn(ROWID, F.col(quote(alias)))
         new = kept.unionByName(put.select(*frame.columns))
         most = mine.agg(F.max("id")).first()[0] or 0
-        now[name.lower()] = written[name.lower()] = replace(table, segments=(replica.write(new, table.name),), next_rowid=max(table.next_rowid, most + 1))
+        now[name.lower()] = written[name.lower()] = replace(table, segments=(*rest, replica.write(new, table.name)), next_rowid=max(table.next_rowid, most + 1))
 
 
 def _replay(spark: SparkSession, replica: Store, r, now: dict[str, Table], written: dict[str, Table | None]) -> None:
