@@ -41,6 +41,7 @@ PART_BYTES, MOST_PARTS = 64 << 20, 50_000
 _BITS = 20
 _CHUNK = 1 << _BITS  # bytes of a document that are hashed at a time
 _FLUSH = 400_000  # rows that a task holds before it passes them on
+_SLICE = 1 << 15  # rows that it passes on at once
 _OFTEN = 256  # different contents of a rank in one flush
 _U = np.uint64
 _FOUND, _TIED, _RANKED, _OFTEN_TIED = 1, 2, 0, 3
@@ -155,7 +156,13 @@ def _sorted_flags(key: np.ndarray, full: np.ndarray, doc: np.ndarray, first: np.
     return o, new_key, new_key | np.concatenate([[True], full[1:] != full[:-1]])
 
 
-def _flush(rows: list[np.ndarray]) -> pa.RecordBatch:
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts that take little memory on the other side."""
+    for at in range(0, batch.num_rows, _SLICE):
+        yield batch.slice(at, _SLICE)
+
+
+def _flush(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """What a task passes on: the first of equal rows; others are found; ranks that tie very often are passed by."""
     key, full, doc, first, last, mark = rows
     o, new_key, new_full = _sorted_flags(key, full, doc, first, True)
@@ -170,7 +177,7 @@ def _flush(rows: list[np.ndarray]) -> pa.RecordBatch:
     told = [x[tell] for x in (key, full, doc, first, last, mark)]
     key[away] = spread
     cols = [np.concatenate([a, b]) for a, b in zip((kind, key, full, doc, first, last, mark), (np.full(len(tell), _OFTEN_TIED), *told), strict=True)]
-    return _batch(*cols)
+    yield from _sliced(_batch(*cols))
 
 
 def _emit(round_: Callable[..., Iterator[Rows]], length: int):
@@ -190,10 +197,10 @@ def _emit(round_: Callable[..., Iterator[Rows]], length: int):
                     held.append((key, full, np.full(len(key), doc), first.astype(np.int32), last.astype(np.int32), mark.astype(np.int32)))
                     size += len(key)
                 if size > _FLUSH:
-                    yield _flush([np.concatenate(x) for x in zip(*held, strict=True)])
+                    yield from _flush([np.concatenate(x) for x in zip(*held, strict=True)])
                     held, size = [], 0
         if size:
-            yield _flush([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from _flush([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
@@ -222,7 +229,7 @@ def _resolve(final: bool):
             state[real] = out
         keep = state > 0
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (state.astype(np.int8), doc, first, last, mark)], names=["state", "doc", "first", "last", "mark"])
+            yield from _sliced(pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (state.astype(np.int8), doc, first, last, mark)], names=["state", "doc", "first", "last", "mark"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
