@@ -365,6 +365,8 @@ def name_outputs(tokens: list[Token]) -> list[Token]:
         body = significant(item)
         while body and (body[0].is_("DISTINCT", "ALL") or body[0].kind == "word" and body[0].upper in HINTS):
             body = body[1:]
+        if len(body) > 2 and body[0].is_("TOP") and (body[1].op("(") or body[1].kind in ("num", "param")):
+            body = body[close_of(body, 1) + 1 :] if body[1].op("(") else body[2:]
         if body and _needs_name(body):
             at = item.index(body[0])
             out += [*item, Token("word", " AS "), Token("ident", "", text_of(item[at:])), Token("space", " ")]

@@ -62,8 +62,8 @@ def indexed(store: Store, df: DataFrame, table: str, staged: list[str]) -> tuple
     for r in sorted(kept.groupBy("__part").agg(F.count("*").alias("n"), F.min("__mono").alias("least")).collect()):
         offsets.append((r["__part"], total - r.least))
         total += r.n
-    shift = df.sparkSession.createDataFrame(offsets, "__part int, __shift long")  # a row for each partition
-    return kept.join(shift, "__part").withColumn("__idx", F.col("__mono") + F.col("__shift")).drop("__part", "__mono", "__shift"), total
+    shift = df.sparkSession.createDataFrame(offsets, "__part int, __shift long")
+    return kept.join(F.broadcast(shift), "__part").withColumn("__idx", F.col("__mono") + F.col("__shift")).drop("__part", "__mono", "__shift"), total
 
 
 def _key(columns: tuple[str, ...]) -> list[Column]:

@@ -7,18 +7,23 @@ tables themselves.
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from polygate.errors import classify
-from polygate.guard import AuthRequest, ConnectionLimiter, WriteAdmission, authenticate, native_response, password_hash, screen_sql, verify
+from polygate.frontends.clients import MySqlClient, PostgresClient, TdsClient
+from polygate.gateway import Gateway
+from polygate.guard import AuthRequest, ConnectionLimiter, SessionPool, WriteAdmission, authenticate, native_response, password_hash, screen_sql, screened, verify
 from polygate.lexer import Dialect, lex, split_statements
 from polygate.plans.statements import affinity
 from polygate.plans.statements import classify as kind_of
-from polygate.session import Session
+from polygate.plans.translate import TranslateCache
+from polygate.session import PREPARED_CAP, Session
 from polygate.sources import hrana
-from polygate.sources.store import Store
+from polygate.sources.store import Store, temporary_root
 from polygate.streaming import cdc
 
 MY, PG, TS, LITE = Dialect.MYSQL, Dialect.POSTGRES, Dialect.TSQL, Dialect.SQLITE
@@ -447,3 +452,182 @@ def _http(spark: SparkSession, sf_dir: str) -> list[str]:
 
 
 _rows("A11_http_pipeline", _http, ["healthy True", "1 rows, last 7", "7|é|00ff", Sql("(SELECT COUNT(*) || '|' || MAX(r_name) FROM region)"), "error", "ok", "ok"])
+
+
+# --- A: stores by path, front ends, the command line ------------------------------------------------------------------
+def _stored(spark: SparkSession, sf_dir: str) -> list[str]:
+    path, out = temporary_root(spark), []
+    for steps, read_only in ((["CREATE TABLE n (k INT PRIMARY KEY, v TEXT)", "INSERT INTO n SELECT n_nationkey, n_name FROM nation"], False), (["UPDATE n SET v = 'x' WHERE k < 5"], False), (["SELECT COUNT(*), COUNT(DISTINCT v) FROM n", "DELETE FROM n"], True)):
+        session = Session(spark, LITE, Store(spark, path, read_only)).register_parquet(sf_dir, ["nation"])
+        for sql in steps:
+            out += said_by(session, sql)
+        session.close()
+    Store(spark, path).files.remove("")
+    return out
+
+
+_rows("A6_store_by_path", _stored, [_count("nation", " rows"), "5 rows", Sql("(SELECT COUNT(*) || '|' || (COUNT(*) - 4) FROM nation)"), "error 1290 HY000"])
+
+
+@contextlib.contextmanager
+def _served(spark: SparkSession, sf_dir: str, kind: str):
+    gateway = Gateway(spark).memory().table("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    getattr(gateway, kind)().serve()
+    try:
+        yield gateway.servers[0]
+    finally:
+        gateway.close()
+
+
+def _mysql(spark: SparkSession, sf_dir: str) -> list[str]:
+    with _served(spark, sf_dir, "mysql") as server, MySqlClient(server) as c:
+        say = lambda r: [f"{r[0]} {r[1]}"] if isinstance(r[0], str) else ["|".join("NULL" if v is None else v.decode() for v in row) for row in r[1]]
+        out = []
+        for sql in ("CREATE TABLE t (id INT AUTO_INCREMENT PRIMARY KEY, v VARCHAR(9))", "INSERT INTO t (v) VALUES ('é'), (NULL)", "SELECT * FROM t ORDER BY id", "SELECT `o_orderstatus`, COUNT(*) FROM `orders` GROUP BY 1 ORDER BY 1 LIMIT 0, 1", "INSERT INTO t VALUES (1, 'again')", "SELECT * FROM nope"):
+            out += say(c.query(sql))
+        key, _ = c.prepare("SELECT COUNT(*) FROM orders WHERE o_orderkey <= ?")
+        return [*out, *(str(v) for (v,) in c.execute(key, [100])[1])]
+
+
+_status = "(SELECT o_orderstatus || '|' || COUNT(*) FROM orders GROUP BY o_orderstatus ORDER BY o_orderstatus LIMIT 1)"
+_rows("A12_mysql_front_end", _mysql, ["ok 0", "ok 2", "1|é", "2|NULL", Sql(_status), "error 1062", "error 1146", _count("orders WHERE o_orderkey <= 100")])
+
+
+def _postgres(spark: SparkSession, sf_dir: str) -> list[str]:
+    with _served(spark, sf_dir, "postgres") as server, PostgresClient(server) as c:
+        out = []
+        for sql in ("CREATE TABLE t (id SERIAL PRIMARY KEY, v TEXT); INSERT INTO t (v) VALUES ('é'), (NULL) RETURNING id", "SELECT id::text, v FROM t ORDER BY id", 'SELECT "o_orderstatus", COUNT(*) FROM "orders" GROUP BY 1 ORDER BY 1 LIMIT 1', "INSERT INTO t VALUES (1, 'again')", "BEGIN", "ROLLBACK"):
+            out += [x if isinstance(x, str) else "|".join("NULL" if v is None else v.decode() for v in x) for x in c.query(sql)]
+        got = c.extended("SELECT COUNT(*) FROM orders WHERE o_orderkey <= $1", [b"100"], oids=[20])
+        return [*out, *(c.row(body)[0].decode() for kind, body in got if kind == b"D")]
+
+
+_rows("A13_postgres_front_end", _postgres, ["CREATE TABLE", "1", "2", "INSERT 0 2", "1|é", "2|NULL", "SELECT 2", Sql(_status), "SELECT 1", "error 23505", "BEGIN", "ROLLBACK", _count("orders WHERE o_orderkey <= 100")])
+
+
+def _tds(spark: SparkSession, sf_dir: str) -> list[str]:
+    with _served(spark, sf_dir, "tds") as server, TdsClient(server) as c:
+        out = []
+        for sql in ("CREATE TABLE [t] (id INT IDENTITY(1, 1) PRIMARY KEY, v NVARCHAR(9)); INSERT INTO t (v) VALUES (N'é'), (NULL)", "SELECT TOP 2 * FROM [t] ORDER BY [id]", "SELECT TOP 1 [o_orderstatus], COUNT(*) AS n FROM [orders] GROUP BY o_orderstatus ORDER BY 1", "SELECT * FROM nope"):
+            for x in c.query(sql):
+                out.append(f"{x[0]} {x[-1]}" if x[0] == "done" else f"error {x[1]}" if x[0] == "error" else ",".join(x[1]) if x[0] == "columns" else "|".join(map(_text, x)))
+        return out
+
+
+_rows("A14_tds_front_end", _tds, ["done 0", "done 2", "id,v", "1|é", "2|NULL", "done 2", "o_orderstatus,n", Sql(_status), "done 1", "error 50000", "done 0"])
+
+
+def _command_line(spark: SparkSession, sf_dir: str) -> list[str]:
+    from polygate.__main__ import main
+
+    path, out = temporary_root(spark), []
+    for args in (["CREATE TABLE n (k INT PRIMARY KEY); INSERT INTO n SELECT n_nationkey FROM nation"], ["--dialect", "tsql", "SELECT TOP 1 [k] AS [least] FROM [n] ORDER BY k"], ["--dialect", "postgres", "SELECT * FROM nope"]):
+        said, wrong = io.StringIO(), io.StringIO()
+        with contextlib.redirect_stdout(said), contextlib.redirect_stderr(wrong):
+            code = main(["--db", path, "--tables", sf_dir, *args], spark)
+        out += [f"exit {code}", *said.getvalue().splitlines(), *(x.split(":")[0] for x in wrong.getvalue().splitlines()[:1])]
+    Store(spark, path).files.remove("")
+    return out
+
+
+_rows("A15_command_line", _command_line, ["exit 0", _count("nation", " rows affected"), "exit 0", "least", Sql("(SELECT CAST(MIN(n_nationkey) AS VARCHAR) FROM nation)"), "exit 1", "error 0 (XX000)"])
+
+
+def _builder(spark: SparkSession, sf_dir: str) -> list[str]:
+    gateway = Gateway(spark).memory().max_connections(2).write_permits(1, 0.1).tenant_screen().table("region", spark.read.parquet(f"{sf_dir}/region.parquet"))
+    a, b = gateway.connect(MY), gateway.connect(PG)
+    out = []
+    for s, sql in ((a, "CREATE TABLE t AS SELECT r_name FROM region"), (b, 'SELECT COUNT(*) FROM "t"'), (a, "ATTACH 'x' AS y")):
+        out += said_by(s, sql)
+    try:
+        gateway.connect(TS)
+    except Exception as e:
+        out.append(f"error {classify(e).code}")
+    b.close()
+    out += said_by(gateway.connect(TS), "SELECT TOP 1 [r_name] FROM [t] ORDER BY 1")
+    gateway.close()
+    return out
+
+
+_rows("A16_builder", _builder, [_count("region"), "error 1045 28000", "error 1040", Sql("(SELECT MIN(r_name) FROM region)")])
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> list[str]:
+    s = Session(spark, MY).register_parquet(sf_dir, ["orders"])
+    text = "\n".join(str(r[0]) for r in s.query("EXPLAIN SELECT `o_orderkey` FROM `orders` WHERE o_custkey = 7 LIMIT 0, 5").rows)
+    return [f"{word}: {word in text}" for word in ("Physical Plan", "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)]", "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>")]
+
+
+_rows("A18_explain", _explained, ["Physical Plan: True", "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)]: True", "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>: True"])
+
+
+# --- L, N, O: limits, caches, pools ------------------------------------------------------------------------------------
+def _prepared_cap(spark: SparkSession, sf_dir: str) -> list[str]:
+    s = Session(spark, MY)
+    kept = [s.prepare("SET NAMES utf8") for _ in range(PREPARED_CAP)]
+    out = [f"{len(kept)} kept"]
+    try:
+        s.prepare("SELECT 2")
+    except Exception as e:
+        out.append(f"error {classify(e).code}")
+    s.close_prepared(kept[0])
+    again = s.prepare("SELECT 2")
+    return [*out, *(str(v) for (v,) in s.execute_prepared(again, []).rows)]
+
+
+_rows("L9_prepared_cap", _prepared_cap, ["1024 kept", "error 1461", "2"])
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> list[str]:
+    cache = TranslateCache(2)
+    a, b = (Session(spark, d, cache=cache).register_parquet(sf_dir, ["region"]) for d in (MY, PG))
+    out = []
+    for s, sql in ((a, "SELECT COUNT(*) FROM region"), (a, "SELECT COUNT(*) FROM region"), (b, "SELECT COUNT(*) FROM region"), (b, "SELECT 2"), (a, "SELECT COUNT(*) FROM region")):
+        out += [f"{said}, {cache.hits} hits, {cache.misses} misses, {len(cache)} kept" for said in said_by(s, sql)]
+    return out
+
+
+_region = "(SELECT COUNT(*) || ', {} hits, {} misses, {} kept' FROM region)"
+_rows("L13_translate_cache", _cached, [*(Sql(_region.format(*x)) for x in ((0, 1, 1), (1, 1, 1), (1, 2, 2))), "2, 1 hits, 3 misses, 2 kept", Sql(_region.format(1, 4, 2))])
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> list[str]:
+    s = Session(spark, MY).register_parquet(sf_dir, ["region"])
+    s.query("CREATE TABLE t (v INT)")
+    s.query("INSERT INTO t VALUES (4)")
+    s.query("SELECT * FROM t")
+    return [str(r[0]) for r in s.spark.sql("SELECT COUNT(*) FROM region UNION ALL SELECT SUM(v) FROM t").collect()]
+
+
+_rows("N10_raw_connection", _raw, [_count("region"), "4"])
+
+
+def _screened(spark: SparkSession, sf_dir: str) -> list[str]:
+    s = Session(spark, LITE, screen=screened(LITE)).register_parquet(sf_dir, ["region"])
+    out: list[str] = []
+    for sql in ("SELECT COUNT(*) FROM region", "ATTACH 'other' AS o", "SELECT 1; DETACH o", "SELECT 'ATTACH x'", "VACUUM INTO 'x'"):
+        out += said_by(s, sql)
+    return out
+
+
+_rows("O2_screened_session", _screened, [_count("region"), "error 1045 28000", "error 1045 28000", "ATTACH x", "error 1045 28000"])
+
+
+def _pooled(spark: SparkSession, sf_dir: str) -> list[str]:
+    store = Store(spark)
+    pool = SessionPool(lambda: Session(spark, MY, store), 1)
+    a = pool.checkout()
+    out = said_by(a, "SELECT 1")
+    out.append(f"kept {pool.park(a)}")
+    b = pool.checkout()
+    out.append(f"the same {a is b}")
+    said_by(b, "BEGIN")
+    out.append(f"kept in a transaction {pool.park(b)}")
+    c = pool.checkout()
+    c.spark.conf.set("spark.sql.ansi.enabled", "false" if c.spark.conf.get("spark.sql.ansi.enabled") == "true" else "true")
+    out.append(f"kept with other settings {pool.park(c)}")
+    store.close()
+    return out
+
+
+_rows("O7_session_pool", _pooled, ["1", "kept True", "the same True", "kept in a transaction False", "kept with other settings False"])

@@ -215,3 +215,8 @@ def test_fetch_and_schemas(sql, want):
 def test_fetch_with_ties_is_refused():
     with pytest.raises(UnsupportedError):
         translate("SELECT a FROM t ORDER BY a FETCH FIRST 2 ROWS WITH TIES", PG)
+
+
+def test_top_is_no_part_of_a_column_name():
+    for sql, want in (("SELECT TOP 2 * FROM [t]", "SELECT * FROM `t` LIMIT 2"), ("SELECT DISTINCT TOP (3) a + 1 FROM t", "SELECT DISTINCT a + 1 AS `a + 1` FROM t LIMIT (3)"), ("SELECT TOP 1 t.* FROM t", "SELECT t.* FROM t LIMIT 1")):
+        assert " ".join(translate(sql, Dialect.TSQL)[0].text.split()) == want
