@@ -525,7 +525,7 @@ def _command_line(spark: SparkSession, sf_dir: str) -> list[str]:
         said, wrong = io.StringIO(), io.StringIO()
         with contextlib.redirect_stdout(said), contextlib.redirect_stderr(wrong):
             code = main(["--db", path, "--tables", sf_dir, *args], spark)
-        out += [f"exit {code}", *said.getvalue().splitlines(), *(x.split(":")[0] for x in wrong.getvalue().splitlines()[:1])]
+        out += [f"exit {code}", *said.getvalue().splitlines(), *(x.split(":")[0] for x in wrong.getvalue().splitlines() if x.startswith("error"))]
     Store(spark, path).files.remove("")
     return out
 
