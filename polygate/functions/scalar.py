@@ -74,7 +74,7 @@ OWN: dict[Dialect, dict[str, Handler]] = {
 #: Words that are calls without parentheses.
 BARE = {"CURRENT_TIMESTAMP": NOW, "CURRENT_DATE": TODAY}
 
-#: ``@@name``: what metadata queries and expressions give; others are NULL.
+#: ``@@name``: what metadata queries and expressions give; others are NULL.  Fixed values: clients compare some of them.
 VARIABLES: dict[str, str] = {
     "max_allowed_packet": "67108864", "wait_timeout": "28800", "interactive_timeout": "28800", "net_write_timeout": "60", "net_read_timeout": "30",
     "socket": "'/tmp/polygate.sock'", "character_set_client": "'utf8mb4'", "character_set_connection": "'utf8mb4'", "character_set_results": "'utf8mb4'",
