@@ -548,7 +548,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, lexicon_words: int =
     """(doc_id, ids): ids is binary, little-endian unsigned 32-bit integers, for every row of ``docs`` (doc_id, text).
 
     ``path`` is the tokenizer file, read on the driver alone.  Null texts count as empty and have no ids; null and
-    repeated doc_ids are kept.  ``lexicon_words=0`` encodes without a lexicon, and without the counting pass.
+    repeated doc_ids are kept.  Very long texts and words are taken whole: a text is encoded in slices of words, a long word
+    merged with a heap.  An empty table gives an empty one.  ``lexicon_words=0`` encodes without a lexicon, and without the counting pass.
     """
     return _apply(spark, docs, path, lexicon_words, _ids_only, "doc_id long, ids binary")
 
@@ -587,7 +588,7 @@ def _round_trip(batch: pa.RecordBatch, ids: list[np.ndarray], vocabulary: Vocabu
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, path: str, lexicon_words: int = LEXICON) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass; odd rows as in :func:`encode`."""
     return _apply(spark, docs, path, lexicon_words, _round_trip, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -198,7 +198,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
 
     Learns from rows of ``labels`` (doc_id, quality) with a label and an id whose fold isn't 0.  Labels of unknown
     documents and null labels are ignored; repeated ones each count.  Null texts score as empty ones.  Without any
-    label every score is one constant.  A null id is held out.  With ``rows`` at is the row's place as in ``placed``.
+    label every score is one constant.  A null id is held out.  Very long texts are read whole; equal texts have equal
+    scores, and a score that equals the threshold is accepted.  An empty table gives an empty one.  With ``rows`` at is the row's place as in ``placed``.
     """
     stage = Staged(spark)
     stats = stage.save(statistics_of(docs, rows), "statistics")

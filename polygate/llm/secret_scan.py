@@ -132,7 +132,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, text, spans, redacted): spans is an array of struct(start, kind, end).
 
     One row for each row of ``docs`` (doc_id, text), in place, without a shuffle.  A null text has no spans and stays
-    null in both text columns; null and repeated ids are kept.
+    null in both text columns; null and repeated ids are kept.  Very long texts are scanned whole, in time linear in their
+    length.  An empty table gives an empty one.
     """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 

@@ -87,7 +87,8 @@ def shard(spark: SparkSession, docs: DataFrame, now: Node, grown: Node | None =
 
     The law is ``key``: doc_id and the tree decide, so rows that repeat a doc_id share a shard, as do all null ids.
     A null text has the size of the overhead and crc 0, as an empty one.  Slots number a shard's rows from 0 without
-    gaps, in no promised order.  ``grown_shard`` is the shard under ``grown``, null without it.
+    gaps, in no promised order.  ``grown_shard`` is the shard under ``grown``, null without it.  Very long texts count
+    with all their bytes; only their size and CRC are moved.  An empty table gives an empty one.
     """
     stage = Staged(spark)
     key = F.col("doc_id")

@@ -160,7 +160,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_and_read(spark: SparkSession, docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
-    """Writes to a fresh path of the shared folder and reads it back."""
+    """Writes to a fresh path of the shared folder and reads it back.
+
+    A row for each row of ``docs``: null texts have the end id alone, null ids come first, rows that repeat an id follow one
+    another.  Very long texts are written whole.  An empty table gives an empty one.
+    """
     folder = scratch(spark, "tokens")
     write(spark, docs, path, folder, end_id)
     return read(spark, folder)

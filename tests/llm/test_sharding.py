@@ -61,5 +61,16 @@ def test_place_matches_brute_force(spark):
     assert 2 not in {r.s for r in got}
 
 
+def test_very_long_texts_ties_and_nulls(spark):
+    long = "é" * 3_000_000
+    rows = [(1, long), (1, long), (2, None), (None, ""), (None, None), (3, "x")]
+    got = sharding.shard(spark, spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, shard string"), sharding.tree(4), sharding.tree(4, grown=1)).collect()
+    want = sorted((i or 0, 16 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in got) == want
+    assert len({r.shard for r in got if r.doc_id == 1}) == 1 and len({r.shard for r in got if r.doc_id is None}) == 1
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_empty(spark):
     assert sharding.shard(spark, spark.createDataFrame([], SCHEMA), sharding.tree(3)).collect() == []

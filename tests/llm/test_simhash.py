@@ -145,6 +145,39 @@ def test_similarity_links_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == brute_groups(len(texts), links)
 
 
+def test_many_pairs_near_the_bound_equal_all_pairs(spark):
+    """Copies with about as many edits as the similarity allows, texts of all lengths, and one passage that many share."""
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = rng.choices(vocabulary, k=60)
+    texts = []
+    for g in range(260):
+        n = rng.choice([5, 8, 14, 30, 60, 120, 250, 600, 2000])
+        base = rng.choices(vocabulary, k=n) + (passage if g % 3 == 0 else [])
+        for c in range(rng.choice([1, 3, 5, 8])):
+            w = list(base)
+            for _ in range(round(len(w) / 45 * rng.uniform(0.2, 1.3)) if c else 0):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    at, links = {}, set()
+    sets = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+        for s in sets[-1]:
+            at.setdefault(s, []).append(i)
+    seen = set()
+    for some in at.values():
+        for x in range(len(some)):
+            for y in range(x):
+                seen.add((some[x], some[y]))
+    links = {(i, j) for i, j in seen if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert len(links) > 1000
+    rows = [(i, t, None, "clash") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(6), 5, 4, 0.8).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(len(texts), links)
+
+
 def test_similarity_of_large_groups_nulls_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_GROUP", 5)  # so that groups go by their lists
     rng = random.Random(6)
