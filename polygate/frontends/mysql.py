@@ -299,19 +299,12 @@ class MySqlServer(WireServer):
 
     @staticmethod
     def _query(c: _Client, text: str) -> None:
-        last = None
-        try:
-            for _, r in c.session.each(text):
-                if last is not None:
-                    c.result(last, more=True)
-                last = r
-        except Exception:
-            if last is not None:
-                c.result(last, more=True)
-            raise
-        if last is None:
+        empty = True
+        for _, r in c.session.each(text, paged=True):
+            empty = False
+            c.result(r, more=r.more)
+        if empty:
             raise SqlSyntaxError("Query was empty")
-        c.result(last)
 
     @staticmethod
     def _prepare(c: _Client, text: str) -> None:

@@ -6,6 +6,7 @@ Values go as text, or in binary where the client asks for it.  Columns have four
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from polygate.errors import EngineError, SqlSyntaxError, classify
@@ -188,7 +189,7 @@ class PostgresServer(WireServer):
     def _simple(self, c: _Client, text: str) -> None:
         try:
             empty = True
-            for t, r in c.session.each(text):
+            for t, r in c.session.each(text, paged=True):
                 empty = False
                 if r.columns:
                     c.send(b"T", _described(r.columns, r.types, []))
@@ -200,7 +201,7 @@ class PostgresServer(WireServer):
             c.error(e)
 
     @staticmethod
-    def _rows(c: _Client, rows: list[tuple], formats: list[int]) -> None:
+    def _rows(c: _Client, rows: Iterable[tuple], formats: list[int]) -> None:
         for row in rows:
             body = struct.pack(">h", len(row))
             for i, v in enumerate(row):

@@ -7,7 +7,7 @@ import json
 import os
 import threading
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +33,7 @@ _shared_cache = TranslateCache()
 
 @dataclass
 class Result:
-    """What a statement came to: rows of a query, or counts of a change."""
+    """What a statement came to: rows of a query, or counts of a change; more: whether another statement follows."""
 
     columns: list[str] = field(default_factory=list)
     rows: list[tuple] = field(default_factory=list)
@@ -42,6 +42,32 @@ class Result:
     kind: str = "ok"
     types: list[str] = field(default_factory=list)
     df: DataFrame | None = None
+    more: bool = False
+
+
+class Pages:
+    """Rows that are fetched partition by partition while they are sent, once; ``len`` tells how many were.
+
+    The first is fetched at once, so that what is wrong with a query shows before any of it is sent.
+    """
+
+    def __init__(self, df: DataFrame, done: Callable[[int], None]) -> None:
+        self._rows = df.toLocalIterator()
+        self._first = list(itertools.islice(self._rows, 1))
+        self._done, self._sent = done, 0
+
+    def __iter__(self) -> Iterator[tuple]:
+        for r in itertools.chain(self._first, self._rows):
+            self._sent += 1
+            yield _plain(r)
+        self._done(self._sent)
+
+    def __len__(self) -> int:
+        return self._sent
+
+
+def _plain(row: Sequence) -> tuple:
+    return tuple(bytes(v) if isinstance(v, bytearray) else v for v in row)
 
 
 @dataclass(frozen=True)
@@ -248,13 +274,19 @@ class Session:
 
     execute = query
 
-    def each(self, text: str, lowered: bool = True) -> Iterator[tuple[Translated, Result]]:
-        """Runs the statements of a text one after the other and gives each with its result."""
+    def each(self, text: str, lowered: bool = True, paged: bool = False) -> Iterator[tuple[Translated, Result]]:
+        """Runs the statements of a text one after the other and gives each with its result.
+
+        With ``paged`` a query's rows are :class:`Pages`, to be read before the next statement is asked for.
+        """
         with self._lock:
-            for t in self._plans(text):
-                yield t, self._run(t, None, lowered)
+            plans = self._plans(text)
+            for i, t in enumerate(plans):
+                out = self._run(t, None, lowered, paged)
+                out.more = i < len(plans) - 1
+                yield t, out
 
-    def _run(self, t: Translated, params: Sequence | None, lowered: bool) -> Result:
+    def _run(self, t: Translated, params: Sequence | None, lowered: bool, paged: bool = False) -> Result:
         if t.kind == "noop":
             return Result()
         if t.kind == "found_rows":
@@ -280,7 +312,7 @@ class Session:
                     total = self._spark_sql(t.count_text, args).first()[0]
                 except Exception:  # the count is extra: the query itself tells what is wrong
                     total = None
-            out = self._rows(self._query(t, params), lowered)
+            out = self._rows(self._query(t, params), lowered, total is None, paged)
             if total is not None:
                 self.found_rows = total
             return out
@@ -291,11 +323,17 @@ class Session:
             if permit is not None and not self.in_transaction:
                 self.admission.release(self)
 
-    def _rows(self, df: DataFrame, lowered: bool, count: bool = True) -> Result:
+    def _found(self, n: int) -> None:
+        self.found_rows = n
+
+    def _rows(self, df: DataFrame, lowered: bool, count: bool = True, paged: bool = False) -> Result:
         out = lower(df) if lowered else df
-        rows = [tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in out.collect()]
-        if count:
-            self.found_rows = len(rows)
+        if paged:
+            rows = Pages(out, self._found if count else lambda n: None)
+        else:
+            rows = [_plain(r) for r in out.collect()]
+            if count:
+                self._found(len(rows))
         return Result(list(df.columns), rows, 0, None, "query", [wire_class(f.dataType) for f in df.schema], df)
 
     def _metadata(self, q: MetadataQuery) -> DataFrame:

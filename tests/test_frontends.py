@@ -83,6 +83,20 @@ def test_mysql_long_rows_span_packets(gateway):
         assert len(v) == 300_000
 
 
+def test_rows_come_in_pages(gateway):
+    """Found rows and counts are of what was sent; an error in the middle ends the rows."""
+    with MySqlClient(gateway.servers[0]) as c:
+        assert len(c.query("SELECT id FROM range(0, 20000, 1, 7)")[1]) == 20_000
+        assert c.query("SELECT FOUND_ROWS()")[1] == [(b"20000",)]
+        c.command(my.QUERY, b"SELECT id FROM range(3); SELECT FOUND_ROWS(); SELECT * FROM nope")
+        assert len(c.result()[1]) == 3 and c.status & my.MORE_RESULTS
+        assert c.result()[1] == [(b"3",)] and c.status & my.MORE_RESULTS
+        assert c.result() == ("error", 1146, "42S02")
+        assert c.query("SELECT SQL_CALC_FOUND_ROWS id FROM range(50) LIMIT 3")[1][-1] and c.query("SELECT FOUND_ROWS()")[1] == [(b"50",)]
+    with PostgresClient(gateway.servers[1]) as c:
+        assert c.query("SELECT id FROM range(0, 20000, 1, 7)")[-1] == "SELECT 20000"
+
+
 def test_mysql_logins(spark):
     tenants = Gateway(spark).memory()
     stored = password_hash(b"pw")
