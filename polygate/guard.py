@@ -202,8 +202,25 @@ class WriteAdmission:
                 self._cond.notify_all()
 
 
+#: First words of statements after which a session isn't reused: they may leave settings, other databases or temporary tables.
+DIRTY = frozenset({"ATTACH", "DETACH", "PRAGMA", "SET", "LOAD", "REINDEX", "ANALYZE", "EXEC", "DECLARE", "USE"})
+
+
+def leaves_traces(text: str, dialect: Dialect) -> bool:
+    """Whether any statement of a text may leave something in a session; what can't be read counts as one."""
+    try:
+        for part in split_statements(lex(text, dialect)):
+            words = [t.upper for t in significant(part)[:4]]
+            if words[:1] and words[0] in DIRTY or words[:1] == ["CREATE"] and {"TEMP", "TEMPORARY"} & set(words[1:]):
+                return True
+    except SqlSyntaxError:
+        return True
+    return False
+
+
 class SessionPool:
-    """Sessions for reuse: one is kept only if it ended clean, outside a transaction and with settings as they were."""
+    """Sessions for reuse: one is kept only if it ended clean, outside a transaction, with settings as they were, and ran no
+    statement that leaves traces."""
 
     def __init__(self, factory: Callable[[], object], size: int = 8) -> None:
         self.factory, self.size = factory, size
@@ -215,7 +232,15 @@ class SessionPool:
             if self._idle:
                 return self._idle.pop()
         session = self.factory()
-        session._pool_mark = self._fingerprint(session)
+        session._pool_mark, session._pool_dirty = self._fingerprint(session), False
+        screen = session.screen
+
+        def watch(text: str) -> None:
+            session._pool_dirty |= leaves_traces(text, session.dialect)
+            if screen is not None:
+                screen(text)
+
+        session.screen = watch
         return session
 
     @staticmethod
@@ -224,7 +249,7 @@ class SessionPool:
 
     def park(self, session) -> bool:
         """Whether the session was kept."""
-        clean = not session.in_transaction and getattr(session, "_pool_mark", None) == self._fingerprint(session)
+        clean = not session.in_transaction and not getattr(session, "_pool_dirty", True) and getattr(session, "_pool_mark", None) == self._fingerprint(session)
         session.reset()
         with self._lock:
             if clean and len(self._idle) < self.size:

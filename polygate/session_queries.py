@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from polygate.errors import classify
 from polygate.frontends.clients import MySqlClient, PostgresClient, TdsClient
 from polygate.gateway import Gateway
-from polygate.guard import AuthRequest, ConnectionLimiter, SessionPool, WriteAdmission, authenticate, native_response, password_hash, screen_sql, screened, verify
+from polygate.guard import AuthRequest, ConnectionLimiter, SessionPool, WriteAdmission, authenticate, leaves_traces, native_response, password_hash, screen_sql, screened, verify
 from polygate.lexer import Dialect, lex, split_statements
 from polygate.plans.statements import affinity
 from polygate.plans.statements import classify as kind_of
 from polygate.plans.translate import TranslateCache
 from polygate.session import PREPARED_CAP, Session
-from polygate.sources import hrana
+from polygate.sources import hrana, sqlite_record
 from polygate.sources.store import Store, temporary_root
 from polygate.streaming import cdc
 
@@ -626,8 +626,34 @@ def _pooled(spark: SparkSession, sf_dir: str) -> list[str]:
     c = pool.checkout()
     c.spark.conf.set("spark.sql.ansi.enabled", "false" if c.spark.conf.get("spark.sql.ansi.enabled") == "true" else "true")
     out.append(f"kept with other settings {pool.park(c)}")
+    d = pool.checkout()
+    said_by(d, "SET NAMES utf8")
+    out.append(f"kept after a statement that may leave traces {pool.park(d)}")
     store.close()
     return out
 
 
-_rows("O7_session_pool", _pooled, ["1", "kept True", "the same True", "kept in a transaction False", "kept with other settings False"])
+_rows("O7_session_pool", _pooled, ["1", "kept True", "the same True", "kept in a transaction False", "kept with other settings False", "kept after a statement that may leave traces False"])
+
+
+def _dirty(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [str(leaves_traces(sql, LITE)) for sql in ("SELECT 1", "ATTACH 'x' AS y", "SELECT 1; PRAGMA foreign_keys = 1", "CREATE TABLE t (a)", "CREATE TEMP TABLE t (a)", "SELECT 'SET x'", "/* SET */ INSERT INTO t VALUES (1)", "SELECT 'open")]
+
+
+_rows("O8_statements_with_traces", _dirty, ["False", "True", "True", "False", "True", "False", "False", "True"])
+
+
+def _records(spark: SparkSession, sf_dir: str) -> list[str]:
+    records = ["02 00", "03 08 09", "07 01 02 03 04 05 06 80 7fff 800000 7fffffff 800000000000 7fffffffffffffff", "03 07 13 3ff8000000000000 c3a96f", "03 10 0d 00ff", "0a 00 00 00 00 00 00 00 00 08", None]
+    rows = [(i, None if r is None else bytearray.fromhex(r)) for i, r in enumerate(records)]
+    got = sqlite_record.decoded(spark.createDataFrame(rows, "n int, record binary"), "n", "record").orderBy("n").collect()
+    out = ["NULL" if r.columns is None else "|".join(_text(c[c.kind] if c.kind != "null" else None) for c in r.columns) for r in got]
+    for bad in ("02 0a", "02 0b", "02 06", "05 00", "81"):
+        try:
+            sqlite_record.decode(bytes.fromhex(bad))
+        except ValueError as e:
+            out.append(str(e))
+    return out
+
+
+_rows("N9_sqlite_records", _records, ["NULL", "0|1", "-128|32767|-8388608|2147483647|-140737488355328|9223372036854775807", "1.5|éo", "00ff|", "NULL|NULL|NULL|NULL|NULL|NULL|NULL|NULL|0", "NULL", "serial type 10 is reserved", "serial type 11 is reserved", "a record is cut short", "a record's header is longer than the record", "a record ends within its header"])
