@@ -171,6 +171,12 @@ def _masks(minimum: int) -> list[int]:
     return [sum(0xFF << (8 * p) for p in c) for c in itertools.combinations(range(8), minimum)]
 
 
+def _star(fp: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row to the row that stands for its label: the flattest links, so that components take few rounds."""
+    some = np.flatnonzero(label != np.arange(len(fp)))
+    return fp[label[some]], fp[some]
+
+
 class _Lists:
     """Finds the links of posting lists that arrive sorted by position choice and bytes."""
 
@@ -214,21 +220,19 @@ class _Lists:
         return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
 
     def forest(self, fp: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links that connect what pairs within the bound connect, about one for each row."""
+        """Links that connect what pairs within the bound connect, one at most for each row."""
         fp = np.unique(fp)
         if len(fp) > _LARGE and self.bits % 2 == 0:
             return self._midpoints(fp, mask)
-        label, left, right = np.arange(len(fp)), [], []
+        label = np.arange(len(fp))
         for i in range(1, len(fp)):
             near = np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= self.bits)
             if len(near):
-                labels, at = np.unique(label[near], return_index=True)
-                left += fp[near[at]].tolist()
-                right += [int(fp[i])] * len(at)
+                labels = np.unique(label[near])
                 label[i] = labels[0]
                 for x in labels[1:]:
                     label[:i][label[:i] == x] = labels[0]
-        return np.array(left, np.uint64), np.array(right, np.uint64)
+        return _star(fp, label)
 
     def _midpoints(self, fp: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
         """Two fingerprints are within 2r bits just if some value is within r bits of both."""
@@ -316,11 +320,11 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str], names: Sequence[st
 
 
 def _forest(fp: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], holds: Callable[[int, int], bool] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all pairs that hold; near(i, some) gives those of the rows that row i may be tied to, best first.
+    """Links that connect what pairs that hold connect; near(i, some) gives those of the rows that row i may be tied to, best first.
 
     Rows that are tied already aren't compared, so a list of copies takes time in proportion to its rows.
     """
-    label, left, right = np.arange(len(fp)), [], []
+    label = np.arange(len(fp))
     for i in range(1, len(fp)):
         first = np.unique([i - 1, 0, label[i - 1]])
         for some in (first, None):
@@ -328,11 +332,9 @@ def _forest(fp: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], holds
                 some = np.flatnonzero(label[:i] != label[i])
             for j in near(i, some).tolist() if len(some) else ():
                 if label[j] != label[i] and (holds is None or holds(i, j)):
-                    left.append(fp[j])
-                    right.append(fp[i])
                     new, old = sorted((label[i], label[j]))
                     label[: i + 1][label[: i + 1] == old] = new
-    return np.array(left, np.int64), np.array(right, np.int64)
+    return _star(fp, label)
 
 
 def _similar(fp: np.ndarray, x: np.ndarray, least: float, sets: list[np.ndarray] | None = None, similarity: float = 0.0, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
