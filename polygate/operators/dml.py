@@ -7,6 +7,7 @@ one row for each partition, or one offending row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -194,7 +195,7 @@ def _source(ctx: Context, table: Table, ins: Insert) -> DataFrame:
         except Exception:
             heads = [", ".join(f"{e} AS {quote(n)}" for e, n in zip(r, names)) for r in cells]
             return ctx.sql(" UNION ALL ".join(f"SELECT {h}" for h in heads))
-    query = ctx.sql(to_spark(ins.query, ctx.dialect, named=False).text)
+    query = ctx.sql(to_spark(ins.query, ctx.dialect).text)  # named, else ORDER BY takes the cast of a column for the column
     if len(query.columns) != len(given):
         raise SqlSyntaxError(f"{len(query.columns)} columns for {len(given)}")
     query = query.toDF(*[f"__c{i}" for i in range(len(given))])
@@ -338,7 +339,8 @@ def _folded(ctx: Context, table: Table, new: DataFrame, existing: DataFrame, key
     whole = F.struct("__seq", *map(quote, cols)).alias("row")
     by = [F.col(quote(c)).alias(f"__k{i}") for i, c in enumerate(key)]
     rows = new.where(_full(key)).select(*by, whole)
-    if where is None and not any(f"{t}." in e for e in sets.values()):  # the last row alone decides
+    reads = re.compile(rf"(?<![\w`.])`?{re.escape(table.name)}`?\s*\.", re.IGNORECASE)
+    if where is None and not any(reads.search(e) for e in sets.values()):  # the last row alone decides
         least, most = F.min("row").alias("a"), F.max("row").alias("b")
         lists = rows.groupBy(*[f"__k{i}" for i in range(len(key))]).agg(least, most).withColumn("rows", F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).drop("a", "b")
     else:

@@ -40,6 +40,23 @@ def test_replica_follows(spark, pair):
     assert content(spark, b) == [(2, "Bq"), (3, "z")]
 
 
+def test_tailers_start_after_any_change(spark, pair):
+    a, _ = pair
+    s = Session(spark, MY, a)
+    run(s, "CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT)", *(f"INSERT INTO t VALUES ({i}, 'a'), ({i + 50}, 'b')" for i in range(5)))
+    whole, t = [], cdc.CdcTailer(spark, a)
+    while (b := t.poll_batch()) is not None:
+        whole.append((b.txn_id, b.commit_id))
+    assert len(whole) == 6 and t.poll_batch() is None
+    for i, (_, end) in enumerate(whole):
+        t = cdc.CdcTailer(spark, a, end)
+        b = t.poll_batch()
+        assert (b and (b.txn_id, b.commit_id)) == (whole[i + 1] if i + 1 < len(whole) else None)
+    run(s, "DELETE FROM t WHERE id = 1")
+    b = t.poll_batch()  # one that had nothing to read before
+    assert b.changes.count() == 1 and b.txn_id == whole[-1][0] + 1
+
+
 def test_a_transaction_is_one_batch_and_withheld_until_commit(spark, pair):
     a, b = pair
     s = Session(spark, MY, a)
