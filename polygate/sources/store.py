@@ -227,18 +227,19 @@ class Store:
 
         Only the row ids are scanned; the driver gets the names of the files touched.
         """
-        if not table.segments:
+        files_of = lambda s: [s] if s.endswith(".parquet") else [f"{s}/{f}" for f in self.files.list(s) if f.endswith(".parquet")]
+        files = {s: files_of(s) for s in table.segments}
+        if sum(map(len, files.values())) < 2:
             return table, ()
         name = F.regexp_extract("_metadata.file_path", "([0-9a-f]{32}/[^/]+)$", 1).alias("file")
         scan = spark.read.schema(f"{ROWID} bigint").parquet(*[f"{self.root}/{s}" for s in table.segments]).select(ROWID, name)
         hit = {r.file for r in scan.join(ids.select(ROWID), ROWID, "left_semi").select("file").distinct().collect()}
         mine: list[str] = []
         rest: list[str] = []
-        for s in table.segments:
-            files = [s] if s.endswith(".parquet") else [f"{s}/{f}" for f in self.files.list(s) if f.endswith(".parquet")]
-            there = [f for f in files if "/".join(f.split("/")[-2:]) in hit]
-            mine += there
-            rest += [f for f in files if f not in there] if there else [s]
+        for s, all_ in files.items():
+            there = {f for f in all_ if "/".join(f.split("/")[-2:]) in hit}
+            mine += sorted(there)
+            rest += [f for f in all_ if f not in there] if there else [s]
         return replace(table, segments=tuple(mine)), tuple(rest)
 
     def stage(self, df: DataFrame, label: str, staged: list[str]) -> DataFrame:

@@ -76,6 +76,8 @@ class CdcTailer:
         The log is a folder for each transaction, in order: once the cursor's place is known, a poll opens one folder.
         """
         m = self.store.manifest()
+        if self.cursor >= m.next_change - 1:
+            return None
         if self.txn is None:
             self.txn = self._first(m)
         while self.txn < m.next_txn:
@@ -135,23 +137,33 @@ def apply_batch(spark: SparkSession, replica: Store, batch: Batch) -> bool:
     written: dict[str, Table | None] = {}
     now = dict(base.tables)
     data = batch.changes.where(F.col("table_name") != SCHEMA_TABLE)
+    last = {r.table_name: r.last for r in batch.changes.groupBy("table_name").agg(F.max("id").alias("last")).collect()}  # tables of one transaction
     at = 0
-    for r in batch.changes.where(F.col("table_name") == SCHEMA_TABLE).orderBy("change_id").collect():  # one row for each DDL statement
+    schema = batch.changes.where(F.col("table_name") == SCHEMA_TABLE).orderBy("change_id").collect() if SCHEMA_TABLE in last else []  # one row for each DDL statement
+    if not schema:
+        _apply_rows(spark, replica, data, now, written, last)
+    for r in schema:
         if at and r.change_id > at + 1:
             _apply_rows(spark, replica, data.where(F.col("change_id").between(at + 1, r.change_id - 1)), now, written)
         elif not at:
             _apply_rows(spark, replica, data.where(F.col("change_id") < r.change_id), now, written)
         _replay(spark, replica, r, now, written)
         at = r.change_id
-    _apply_rows(spark, replica, data.where(F.col("change_id") > at), now, written)
+    if schema and len(last) > 1:
+        _apply_rows(spark, replica, data.where(F.col("change_id") > at), now, written)
     replica.commit(base, written, watermark=batch.commit_id)
     return True
 
 
-def _apply_rows(spark: SparkSession, replica: Store, data: DataFrame, now: dict[str, Table], written: dict[str, Table | None]) -> None:
-    """The last change of a row decides; inserts and updates replace the row of their id, deletes remove it."""
+def _apply_rows(spark: SparkSession, replica: Store, data: DataFrame, now: dict[str, Table], written: dict[str, Table | None], last_ids: dict[str, int] | None = None) -> None:
+    """The last change of a row decides; inserts and updates replace the row of their id, deletes remove it.
+
+    ``last_ids`` has the largest row id by table, if it's known.
+    """
+    if last_ids is None:
+        last_ids = {r.table_name: r.last for r in data.groupBy("table_name").agg(F.max("id").alias("last")).collect()}
     last = data.withColumn("__r", F.row_number().over(Window.partitionBy("table_name", "id").orderBy(F.col("change_id").desc()))).where("__r = 1")
-    for (name,) in data.select("table_name").distinct().collect():  # tables of one transaction
+    for name, most in last_ids.items():
         table = now.get(name.lower())
         if table is None:
             raise EngineError(f"no such table: {name}")
@@ -166,8 +178,7 @@ def _apply_rows(spark: SparkSession, replica: Store, data: DataFrame, now: dict[
         if alias:
             put = put.withColumn(ROWID, F.col(quote(alias)))
         new = kept.unionByName(put.select(*frame.columns))
-        most = mine.agg(F.max("id")).first()[0] or 0
-        now[name.lower()] = written[name.lower()] = replace(table, segments=(*rest, replica.write(new, table.name)), next_rowid=max(table.next_rowid, most + 1))
+        now[name.lower()] = written[name.lower()] = replace(table, segments=(*rest, replica.write(new, table.name)), next_rowid=max(table.next_rowid, (most or 0) + 1))
 
 
 def _replay(spark: SparkSession, replica: Store, r, now: dict[str, Table], written: dict[str, Table | None]) -> None:
