@@ -205,9 +205,7 @@ def _joined(items: DataFrame, stage: Staged) -> DataFrame:
 
 def _filter(joined: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """A bitmap of the windows' hashes, and flags by their first bits; both of a bounded size."""
-    bits = 1 << 16
-    while bits < 64 * joined.count() and bits < FILTER_BITS:
-        bits *= 2
+    bits = min(FILTER_BITS, 1 << max(16, (64 * joined.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, seen = np.zeros(bits >> 3, np.uint8), np.zeros(1 << _SEEN, bool)
