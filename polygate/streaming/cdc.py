@@ -40,7 +40,8 @@ def write_log(spark: SparkSession, store: Store, manifest: Manifest, changes: li
     staged: list[str] = []
     for kind, table, rows in changes:
         updates = F.col("updates") if "updates" in rows.columns else F.lit(None).cast("string").alias("updates")
-        numbered, n = indexed(store, rows.select("id", "before", "after", updates), table, staged)
+        rows = rows.select("id", "before", "after", updates)
+        numbered, n = (rows.withColumn("__idx", F.lit(0)), 1) if table == SCHEMA_TABLE else indexed(store, rows, table, staged)  # a schema change is one row
         part = numbered.select(
             (F.lit(base) + F.col("__idx")).alias("change_id"), F.lit(manifest.next_txn).cast("long").alias("change_txn_id"), F.lit(kind).alias("change_type"),
             F.lit(table).alias("table_name"), F.col("id").cast("long").alias("id"), "before", "after", "updates",
@@ -85,11 +86,12 @@ class CdcTailer:
             if not self.store.files.exists(f"{LOG}/txn={txn:012d}"):
                 continue
             log = self.spark.read.schema(SCHEMA).parquet(f"{self.store.root}/{LOG}/txn={txn:012d}")
-            end = log.where(F.col("change_type") == COMMIT).select("change_id").first()
-            if end.change_id > self.cursor:
+            newest = txn == m.next_txn - 1  # its COMMIT row is the log's last
+            end = m.next_change - 1 if newest else log.where(F.col("change_type") == COMMIT).select("change_id").first().change_id
+            if end > self.cursor:
                 changes = log.where((F.col("change_id") > self.cursor) & (F.col("change_type") != COMMIT))
-                self.cursor = end.change_id
-                return Batch(changes, end.change_id, txn)
+                self.cursor = end
+                return Batch(changes, end, txn)
         return None
 
     def _first(self, m: Manifest) -> int:
